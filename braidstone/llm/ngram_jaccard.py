@@ -14,8 +14,9 @@ two components is left out, and no group emits all its pairs.
 Of its lanes that are not empty a document needs only the first d + 1, when d lanes at most can differ: before the first
 lane that two such sets have alike, both have only unlike ones. Lanes skip shingles that very many documents hold:
 leaving the same tokens out on both sides never makes two sets differ more, so any choice of them is lossless. They
-are estimated from a bounded sample, which decides cost only. A document left with d lanes or fewer emits those and
-its whole set's lanes, kept apart, so that two such documents meet there.
+are estimated from a sample of the documents, which decides cost only. A document left with d lanes or fewer emits
+those, then also lanes of a finer split, and if those are d or fewer too, the lanes of its whole set, each kind kept
+apart: of two such documents, both emit the next kind.
 
 Defined cases: a null or blank text has the empty set and links with nothing. Fewer than five words make one shingle.
 Rows that repeat a doc_id are one document if their sets are equal, else each set links on its own. Empty tables give
@@ -42,8 +43,9 @@ WORDS, THRESHOLD = 5, Fraction(4, 5)
 BAND = 1.6
 #: Bits of the second sketch.
 BITS = 1024
-#: Documents in the sample that looks for very common shingles, and the share of it that makes one common.
-SAMPLE_DOCS, COMMON_SHARE, COMMON_MOST = 8_000, 0.004, 200_000
+#: One document in so many is in the sample that looks for common shingles; one that COMMON of them hold is common
+#: (about COMMON * SAMPLE_EVERY documents of all). The most frequent COMMON_MOST at most are broadcast.
+SAMPLE_EVERY, COMMON, COMMON_MOST = 20, 4, 2_000_000
 #: Batches of documents and rows of pairs handled at once in Python.
 CHUNK = 500
 
@@ -155,15 +157,14 @@ def lane_keys(whole: np.ndarray, rare: np.ndarray, bands: Bands) -> np.ndarray:
 
     for k in bands.of(len(whole)):
         p, d = int(bands.lanes[k]), int(bands.unlike[k])
-        lane, bits = _lanes(rare, p)
-        add(lane[: d + 1], bits[: d + 1], 2 * k)
-        if len(lane) > d:
-            continue
-        lane, bits = _lanes(whole, p)
-        add(lane[: d + 1], bits[: d + 1], 2 * k + 1)
-        if len(lane) <= d:
+        for kind, (tokens, lanes) in enumerate(((rare, p), (rare, 8 * p), (whole, p))):
+            lane, bits = _lanes(tokens, lanes)
+            add(lane[: d + 1], bits[: d + 1], 3 * k + kind)
+            if len(lane) > d:
+                break
+        else:
             empty = np.setdiff1d(np.arange(p, dtype=np.uint64), lane)
-            add(empty, np.zeros(len(empty), np.uint64), 2 * k + 1)
+            add(empty, np.zeros(len(empty), np.uint64), 3 * k + 2)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -293,7 +294,7 @@ def _groups(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _common(rows: DataFrame, words: int) -> np.ndarray:
-    """Sorted shingles that at least COMMON_SHARE of a sample of about SAMPLE_DOCS documents hold; COMMON_MOST at most."""
+    """Sorted shingles that at least COMMON documents of the sample hold; COMMON_MOST at most."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,10 +302,8 @@ def _common(rows: DataFrame, words: int) -> np.ndarray:
                 if len(s := shingles(t, words)):
                     yield pa.record_batch([pa.array(s.view(np.int64))], ["h"])
 
-    every = max(1, rows.count() // SAMPLE_DOCS)
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    least = max(8, int(SAMPLE_DOCS * COMMON_SHARE))
-    found = sample.mapInArrow(each, "h long").groupBy("h").count().filter(F.col("count") >= least).orderBy(F.desc("count")).limit(COMMON_MOST).select("h").toPandas()
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_EVERY)) == 0)
+    found = sample.mapInArrow(each, "h long").groupBy("h").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(COMMON_MOST).select("h").toPandas()
     return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
 
 
