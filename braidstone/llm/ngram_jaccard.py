@@ -8,8 +8,9 @@ second sketch of single bits gives a Hamming distance that lower-bounds the symm
 false candidates; the rest are verified on whole sets.
 
 Rows of equal sets collapse to the smallest id first. Within the documents that share a key each is compared with the
-smallest; pairs still in different components after that are compared in a second pass, so no link that could join
-two components is left out, and no group emits all its pairs.
+one that shares most keys with others, as an original does among its edited copies; in groups that are not of one
+component after that, also with the next such; pairs still in different components are then compared, so no link that
+could join two components is left out.
 
 Of its lanes that are not empty a document needs only the first d + 1, when d lanes at most can differ: before the first
 lane that two such sets have alike, both have only unlike ones. Lanes skip shingles that very many documents hold:
@@ -30,6 +31,7 @@ from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
@@ -120,6 +122,10 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return acc[np.concatenate(([True], acc[1:] != acc[:-1]))]
 
 
+#: Rounds in which each group compares its members with one of them only.
+STARS = 2
+
+
 class Bands:
     """Which bands a size belongs to and how many lanes each has, for a threshold."""
 
@@ -365,6 +371,47 @@ def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, thre
     return stage(two.select("a", "b", "ta", "tb").mapInArrow(_verified(threshold), "a long, b long"), "links")
 
 
+#: Members and visitors that are compared at once.
+BLOCK = 4096
+
+
+def _compare(threshold: Fraction):
+    """Pairs of a visitor and a member in different components whose sizes and bit sketches allow the threshold."""
+    t = threshold
+
+    def run(key, members: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"s": np.zeros(0, np.int64), "hub": np.zeros(0, np.int64)})]
+        bits = lambda f: np.frombuffer(b"".join(f["sketch"]), np.uint64).reshape(len(f), -1)
+        if not members.empty and not visitors.empty:
+            y, ys, yc, yn = bits(members), members["s"].to_numpy(), members["c"].to_numpy(), members["n"].to_numpy()
+            for at in range(0, len(visitors), 64):
+                v = visitors.iloc[at : at + 64]
+                x, xn = bits(v), v["n"].to_numpy()[:, None]
+                near = (v["c"].to_numpy()[:, None] != yc) & (np.minimum(xn, yn) * t.denominator >= np.maximum(xn, yn) * t.numerator)
+                i, j = np.nonzero(near)
+                apart = np.concatenate([np.bitwise_count(x[i[k : k + 100_000]] ^ y[j[k : k + 100_000]]).sum(1, dtype=np.int64) for k in range(0, len(i), 100_000)] or [np.zeros(0, np.int64)])
+                good = apart <= (xn[i, 0] + yn[j]) * (t.denominator - t.numerator) // (t.denominator + t.numerator)
+                out.append(pd.DataFrame({"s": v["s"].to_numpy()[i[good]], "hub": ys[j[good]]}))
+        return pd.concat(out)
+
+    return run
+
+
+def _left_over(mixed: DataFrame, nodes: DataFrame, key: list[str], threshold: Fraction) -> DataFrame:
+    """Likely pairs of different components in a group: its members outside its largest component against all, in blocks."""
+    parts = mixed.groupBy(*key, "c").count()
+    sizes = parts.groupBy(*key).agg(F.max(F.struct("count", "c"))["c"].alias("big"), F.sum("count").alias("m"), (F.sum("count") - F.max("count")).alias("v"))
+    wide = mixed.join(sizes, key).join(nodes.select(F.col("s1").alias("s"), "n", "sketch"), "s")
+    wide = wide.select(*key, "s", "c", "n", "sketch", "big", F.ceil(F.col("m") / BLOCK).cast("int").alias("bm"), F.ceil(F.col("v") / BLOCK).cast("int").alias("bv"))
+    salt = lambda n: F.pmod(F.xxhash64("s"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own, cols = [*key, "pm", "pv"], ["s", "c", "n", "sketch"]
+    members = wide.withColumn("pm", salt("bm")).withColumn("pv", each("bv")).select(*own, *cols)
+    visitors = wide.filter("c <> big").withColumn("pv", salt("bv")).withColumn("pm", each("bm"))
+    visitors = visitors.select(*(F.col(k).alias(f"v_{k}") for k in own), *(F.col(c).alias(c) for c in cols))
+    return members.groupBy(*own).cogroup(visitors.groupBy(*(f"v_{k}" for k in own))).applyInPandas(_compare(threshold), "s long, hub long")
+
+
 def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``."""
     spark = docs.sparkSession
@@ -378,19 +425,37 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction = T
     nodes = stage(sets.filter("n > 0 and doc_id is not null").groupBy("s1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     groups = stage(met.filter(F.col("members").isNotNull()).select("g1", "g2", "part", "members").dropDuplicates(["g1", "g2", "part"]), "groups")
 
-    star = groups.select(F.col("members")[0].alias("a"), F.explode(F.expr("slice(members, 2, size(members))")).alias("b")).distinct()
-    links = _links(star, nodes, rows, words, threshold)
-    joined = components(links)
-    member = groups.select("g1", "g2", F.explode("members").alias("s")).distinct().join(joined.withColumnRenamed("node", "s"), "s", "left")
-    member = stage(member.select("g1", "g2", "s", F.coalesce("component", "s").alias("c")), "members")
-    mixed = member.groupBy("g1", "g2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("g1", "g2")
-    left = stage(member.join(mixed, ["g1", "g2"], "left_semi"), "mixed")
-    other = left.select("g1", "g2", F.col("s").alias("t"), F.col("c").alias("d"))
-    rest = left.join(other, ["g1", "g2"]).filter("c < d").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
-    rest = rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    more = _links(rest, nodes, rows, words, threshold)
-    if not more.isEmpty():
-        joined = components(links.union(more))
+    member = stage(groups.select("g1", "g2", F.explode("members").alias("s")).distinct(), "members")
+    key = ["g1", "g2"]
+    degree = member.join(member.groupBy(*key).count(), key).groupBy("s").agg(F.sum("count").alias("degree"))
+    member = stage(member.join(degree, "s"), "degrees")
+    tried, links, joined, spent = None, None, None, None
+    for k in range(STARS + 1):
+        here = member
+        if joined is not None:
+            here = here.join(joined.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s"))
+            mixed = here.groupBy(*key).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(*key)
+            here = stage(here.select(*key, "s", "degree", "c").join(mixed, key, "left_semi"), f"mixed-{k}")
+        if k < STARS:  # the k-th hub of each group against its other members
+            best = F.max(F.struct("degree", "s", *(["c"] if k else [])))
+            hubs = here if not k else here.join(spent, [here["s"] == spent["h"], *(here[x] == spent[f"h_{x}"] for x in key)], "left_anti")
+            hubs = stage(hubs.groupBy(*key).agg(best.alias("x")).select(*key, F.col("x.s").alias("hub"), *([F.col("x.c").alias("d")] if k else [])), f"hubs-{k}")
+            was = hubs.select(F.col("hub").alias("h"), *(F.col(x).alias(f"h_{x}") for x in key))
+            spent = was if not k else spent.union(was)
+            pairs = here.join(hubs, key).filter("s <> hub")
+            pairs = pairs.filter("c <> d") if k else pairs
+        else:
+            pairs = _left_over(here, nodes, key, threshold)
+        pairs = pairs.select(F.least("s", "hub").alias("a"), F.greatest("s", "hub").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stage(pairs, f"pairs-{k}")
+        if k and pairs.isEmpty():
+            continue
+        tried = pairs if tried is None else tried.union(pairs)
+        found = _links(pairs, nodes, rows, words, threshold)
+        links = found if links is None else links.union(found)
+        joined = components(links)
 
     of_set = stage(nodes.select("s1", "doc_id").join(joined.withColumnRenamed("node", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1")), "set-classes")
     lowest = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
