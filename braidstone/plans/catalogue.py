@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from braidstone.plans import sync_queries, text_queries, vector_queries
+
+QUERIES = text_queries.QUERIES | vector_queries.QUERIES | sync_queries.QUERIES
+ORACLES = text_queries.ORACLES | vector_queries.ORACLES | sync_queries.ORACLES
