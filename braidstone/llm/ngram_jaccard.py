@@ -373,6 +373,8 @@ def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, thre
 
 #: Members and visitors that are compared at once.
 BLOCK = 4096
+#: Groups up to this size are joined with themselves, which makes fewer rows than this for each member.
+SMALL = 32
 
 
 def _compare(threshold: Fraction):
@@ -401,7 +403,11 @@ def _left_over(mixed: DataFrame, nodes: DataFrame, key: list[str], threshold: Fr
     """Likely pairs of different components in a group: its members outside its largest component against all, in blocks."""
     parts = mixed.groupBy(*key, "c").count()
     sizes = parts.groupBy(*key).agg(F.max(F.struct("count", "c"))["c"].alias("big"), F.sum("count").alias("m"), (F.sum("count") - F.max("count")).alias("v"))
-    wide = mixed.join(sizes, key).join(nodes.select(F.col("s1").alias("s"), "n", "sketch"), "s")
+    sized = mixed.join(sizes, key)
+    few = sized.filter(F.col("m") <= SMALL)
+    other = few.select(*key, F.col("s").alias("hub"), F.col("c").alias("d"))
+    small = few.join(other, key).filter("c < d").select("s", "hub").distinct()
+    wide = sized.filter(F.col("m") > SMALL).join(nodes.select(F.col("s1").alias("s"), "n", "sketch"), "s")
     wide = wide.select(*key, "s", "c", "n", "sketch", "big", F.ceil(F.col("m") / BLOCK).cast("int").alias("bm"), F.ceil(F.col("v") / BLOCK).cast("int").alias("bv"))
     salt = lambda n: F.pmod(F.xxhash64("s"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -409,7 +415,8 @@ def _left_over(mixed: DataFrame, nodes: DataFrame, key: list[str], threshold: Fr
     members = wide.withColumn("pm", salt("bm")).withColumn("pv", each("bv")).select(*own, *cols)
     visitors = wide.filter("c <> big").withColumn("pv", salt("bv")).withColumn("pm", each("bm"))
     visitors = visitors.select(*(F.col(k).alias(f"v_{k}") for k in own), *(F.col(c).alias(c) for c in cols))
-    return members.groupBy(*own).cogroup(visitors.groupBy(*(f"v_{k}" for k in own))).applyInPandas(_compare(threshold), "s long, hub long")
+    large = members.groupBy(*own).cogroup(visitors.groupBy(*(f"v_{k}" for k in own))).applyInPandas(_compare(threshold), "s long, hub long")
+    return small.unionByName(large)
 
 
 def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
