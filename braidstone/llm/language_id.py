@@ -100,7 +100,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int) -> tuple[
     for _ in range(EPOCHS):
         for i in order.permutation(len(rows)):
             at, x, y = rows[i]
-            at, x = np.append(at, FEATURES), np.append(x, 1.0)
+            at, x = np.append(at, FEATURES), np.append(x.astype(float), 1.0)
             w = weights(at)
             p = _softmax(x @ w)
             p[y] -= 1
@@ -122,17 +122,21 @@ def fit(docs: DataFrame, lang: str = "lang", sample_docs: int = SAMPLE_DOCS) ->
     idf = np.log((1 + total) / (1 + df)) + 1
     every = max(1, total // sample_docs)
     sample = usable.filter(F.pmod("hash", F.lit(every)) == 0).select("text", lang).limit(sample_docs)
-    got = sample.mapInArrow(_sparse(idf), "lang string, at binary, x binary").toPandas()
-    langs = sorted(set(got["lang"]))
+    got = sample.mapInArrow(_sparse(idf), "lang string, at binary, x binary").toArrow()
+    said = got.column("lang").to_pylist()
+    langs = sorted(set(said))
     if not langs:
         return Model([], idf, np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
-    rows = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float), langs.index(y)) for y, a, x in zip(got["lang"], got["at"], got["x"], strict=True)]
-    rows.sort(key=lambda r: (r[2], len(r[0]), r[1][:1].tolist(), r[1].sum()))  # alike for any order of arrival
+    # Views of the collected buffers: the sample is in the driver's memory once.
+    rows = [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32), langs.index(y)) for y, a, x in zip(said, got.column("at"), got.column("x"), strict=True)]
+    rows.sort(key=lambda r: (r[2], len(r[0]), r[1][:1].tolist(), r[1].sum(dtype=float)))  # alike for any order of arrival
     kept, fitted = rows[::5], [r for i, r in enumerate(rows) if i % 5] or rows
     w, b = ftrl(fitted, len(langs))
     scores, y = np.array([x @ w[at] + b for at, x, _ in kept]), np.array([r[2] for r in kept])
     grid = np.exp(np.linspace(np.log(0.05), np.log(10), 107))
     loss = [-np.log(np.maximum(_softmax(scores / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
+    del rows, kept, fitted, got
+    pa.default_memory_pool().release_unused()
     return Model(langs, idf, w, b, float(grid[int(np.argmin(loss))]))
 
 
