@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,25 @@ def documents(spark, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A task function that hands freed memory back to the system when it ends.
+
+    Workers are reused by later stages, and allocators would keep what the largest batch took.
+    """
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def attach(left: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """Inner join of ``left`` with ``table`` (one row per key, ``count`` = rows of ``left`` under it).
 

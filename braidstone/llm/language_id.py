@@ -19,9 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidstone.llm.common import frugal
+
 FEATURES = 1 << 14
 #: The bound of the sample the classifier is fitted on.
 SAMPLE_DOCS = 6_000
+#: Texts held as Python strings at once.
+CHUNK = 500
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-4, 4
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -37,6 +41,12 @@ def ngram_counts(text: str) -> np.ndarray:
     return out
 
 
+def texts(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column, as Python strings CHUNK at a time."""
+    for at in range(0, len(column), CHUNK):
+        yield from column.slice(at, CHUNK).to_pylist()
+
+
 def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The unit-length TF-IDF vector as positions and values; term frequencies are damped by a square root."""
     counts = ngram_counts(text)
@@ -50,10 +60,11 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+@frugal
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, docs = np.zeros(FEATURES, np.int64), 0
     for b in batches:
-        for text in b.column(0).to_pylist():
+        for text in texts(b.column(0)):
             total[np.flatnonzero(ngram_counts(text))] += 1
             docs += 1
     at = np.flatnonzero(total)
@@ -61,9 +72,10 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def _sparse(idf: np.ndarray):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, x = zip(*(vector(t, idf) for t in b.column(0).to_pylist()), strict=True) if b.num_rows else ((), ())
+            at, x = zip(*(vector(t, idf) for t in texts(b.column(0))), strict=True) if b.num_rows else ((), ())
             yield pa.record_batch([b.column(1), pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([v.astype(np.float32).tobytes() for v in x], pa.binary())], ["lang", "at", "x"])
 
     return run
@@ -141,10 +153,11 @@ def fit(docs: DataFrame, lang: str = "lang", sample_docs: int = SAMPLE_DOCS) ->
 
 
 def _predict(model):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            said = [m.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            said = [m.predict(t) for t in texts(b.column(b.num_columns - 1))]
             yield pa.record_batch([*b.columns[:-1], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
     return run
@@ -163,10 +176,11 @@ def identified_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     train = docs.filter(~held_out(id_col) & F.col(id_col).isNotNull()).select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("hash"))
     model = docs.sparkSession.sparkContext.broadcast(fit(train))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
             at = b.schema.names.index("text")
-            yield b.filter(pa.array([m.predict(t)[0] != "und" for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([m.predict(t)[0] != "und" for t in texts(b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidstone.functions.staging import BROADCAST_ROWS, stage
-from braidstone.llm.common import components
+from braidstone.llm.common import components, frugal
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: Sizes in one band differ by this factor at most.
@@ -198,6 +198,7 @@ def _emit(words: int, bands: Bands, buckets: int, common):
     the smaller id is found later. That keeps groups of copies from weighing on their keys' buckets.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skip, seen = common.value, set()
         for batch in batches:
@@ -242,6 +243,7 @@ _MET_SQL = "doc_id long, n long, s1 long, s2 long, sketch binary, g1 long, g2 lo
 GROUP_ROW = 4096
 
 
+@frugal
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one partition of buckets: document rows as they are, and the distinct groups of sets that share a key."""
     keys, owners = [], []
@@ -302,6 +304,7 @@ def _groups(rows: list[tuple]) -> pa.RecordBatch:
 def _common(rows: DataFrame, words: int) -> np.ndarray:
     """Sorted shingles that at least COMMON documents of the sample hold; COMMON_MOST at most."""
 
+    @frugal
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(1).to_pylist():
@@ -317,6 +320,7 @@ def _near_enough(threshold: Fraction):
     """Keeps pairs ``(a, b, na, nb, ka, kb)`` whose sizes and bit sketches allow the threshold."""
     t = threshold
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if not x.num_rows:
@@ -332,6 +336,7 @@ def _near_enough(threshold: Fraction):
 
 
 def _set_rows(words: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, CHUNK):
@@ -344,6 +349,7 @@ def _set_rows(words: int):
 def _verified(threshold: Fraction):
     t = threshold
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             keep = []

@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidstone.functions.staging import stage
+from braidstone.llm.common import frugal
 
 WINDOW, END_ID = 2048, 1
 #: Ranks are counted within (length, salt), so that one very common length is spread over so many groups.
 SALTS = 256
 #: Of a worker's memory for chunk ids; a full cache is emptied, which changes no result.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 250_000
 
 
 class ChunkIds(dict):
@@ -91,6 +92,7 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def _pieces(path: str, window: int, end_id: int, schema: pa.Schema):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = chunk_ids(path)
         end = np.array([end_id], known.kind)
@@ -221,6 +223,7 @@ _PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def _placed(plan, schema: pa.Schema):
     """Places rows ``(doc_id, start, length, ids_crc32, doc_tokens, rank[, ids, kind])``; cut items need their ids."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             start, length, crc, tokens, rank = (b.column(i).to_numpy() for i in range(1, 6))
