@@ -123,8 +123,6 @@ class Pieces:
 
     def learn(self, words: list[str]) -> None:
         """Encode new words, INDEX_CHARS at a time."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
         at, size = 0, 0
         for i, w in enumerate(words):
             size += len(w) + 1
@@ -178,6 +176,8 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [self.split(t) if t else [] for t in texts]
+        if len(self.words) > CACHE_WORDS:  # before looking up, so that no word of these texts is lost
+            self.words.clear()
         new = {w for p in parts for w in p if w not in self.words}
         new.discard("")
         if new:

@@ -296,3 +296,15 @@ def test_pipeline(spark, tmp_path):
     total = got.groupby("doc_id")["length"].sum()
     known = packing.chunk_ids(BPE)
     assert all(total[i] == len(known.ids(text[i])) + 1 for i in total.index)
+
+
+def test_piece_codec_full_cache(monkeypatch):
+    """A cache emptied between calls loses no word, and gives what the library gives."""
+    import sentencepiece
+
+    monkeypatch.setattr(piece_codec, "CACHE_WORDS", 5)
+    codec, sp, rng = piece_codec.Pieces(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(5)
+    for _ in range(6):
+        texts = [_text(rng, 40), "the of and red", "x" * 700 + " 日本 🎉é \n\n  two", None, ""]
+        for t, ids in zip(texts, codec.encode(texts), strict=True):
+            assert ids.tolist() == (sp.encode(t) if t else [])
