@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Known words of a worker; a full cache is emptied, which changes no result.
 CACHE_WORDS = 600_000
+#: Known pairs of pieces of a worker, sorted; forgotten beyond this, which changes no result.
+PAIRS = 2_000_000
+#: Bits of the table in front of them, one pair a slot.
+RECENT = 20
 #: Characters indexed at once.
 INDEX_CHARS = 2_000_000
 _RUN = re.compile(f"{MARK}+")
@@ -54,7 +58,10 @@ class Pieces:
         self.size = np.array([len(p) for p in self.searched])
         self.raw = [b"" if sp.is_control(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else " ⁇ ".encode() if sp.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.text)]
         self.words: dict[str, bytes] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.piece_id = np.array([self.id[p] for p in self.searched])
+        self.pair, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.recent, self.recent_fits = np.full(1 << RECENT, -1), np.zeros(1 << RECENT, bool)
+        self.names = [*self.searched, ""]
 
     # --- suffix array -------------------------------------------------------------------------------------------
 
@@ -64,7 +71,7 @@ class Pieces:
         rank, n, h = rank.astype(np.int64) + 1, len(text), 1
         while True:
             key = rank * (n + 2) + np.concatenate((rank[h:], np.zeros(min(h, n), np.int64)))[:n]
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # equal keys get equal ranks, in whatever order
             key = key[order]
             fresh = np.empty(n, np.int64)
             fresh[order] = np.cumsum(np.concatenate(([1], key[1:] != key[:-1])))
@@ -114,12 +121,7 @@ class Pieces:
         return parts
 
     def fit(self, a: str, b: str) -> bool:
-        known = self.fits.get((a, b))
-        if known is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            known = self.fits[a, b] = self.merged(a + b) == [x for x in (a, b) if x]
-        return known
+        return self.merged(a + b) == [x for x in (a, b) if x]
 
     def learn(self, words: list[str]) -> None:
         """Encode new words, INDEX_CHARS at a time."""
@@ -131,42 +133,77 @@ class Pieces:
                 at, size = i + 1, 0
 
     def _learn(self, words: list[str]) -> None:
-        joined = "\0" + "\0".join(words) + "\0"
+        marked = [w if w[0] == "\n" else MARK + w for w in words]
+        joined = "\0" + "\0".join(marked) + "\0"
         text = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.cumsum([1, *(len(w) + 1 for w in marked)])
+        starts, ends = starts[:-1], starts[1:] - 1
         at, row = self.occurrences(text)
-        order = np.lexsort((self.size[row], at))
-        at, row = at[order].tolist(), row[order].tolist()
-        searched, e, m, start = self.searched, 0, len(at), 1
-        for w in words:
-            end = start + len(w)
-            last: dict[int, tuple[int, str | None]] = {start: (start, None)}  # position -> the piece that ends there and its start
-            for p in range(start, end):
-                while e < m and at[e] < p:
-                    e += 1
-                first = e
-                while e < m and at[e] == p:
-                    e += 1
-                if p not in last:
-                    continue
-                before = last[p][1]
-                if first == e:
-                    last[p + 1] = (p, None)  # no piece: bytes, which nothing merges with
-                for x in range(first, e):
-                    piece = searched[row[x]]
-                    q = p + len(piece)
-                    if q <= end and q not in last and (self.whole(piece) if before is None else self.fit(before, piece)):
-                        last[q] = (p, piece)
-            ids, p = [], end
-            while p > start:
-                s, piece = last[p]
-                ids.append([self.id[piece]] if piece is not None else [self.byte[b] for b in joined[s:p].encode("utf-8", "surrogatepass")])
-                p = s
-            self.words[w] = np.array([i for part in reversed(ids) for i in part], "<u4").tobytes()
-            start = end + 1
-
-    def whole(self, piece: str) -> bool:
-        """Whether a piece encodes to itself."""
-        return self.fit("", piece)
+        bare = np.ones(len(text), bool)
+        bare[at] = False  # where no piece begins: bytes, which nothing merges with
+        bare[0] = bare[starts - 1] = bare[ends] = False
+        bare = np.flatnonzero(bare)
+        none = len(self.size)
+        at, row = np.concatenate((at, bare)), np.concatenate((row, np.full(len(bare), none)))
+        first = np.zeros(len(text) + 1, bool)
+        first[starts] = True
+        depth = at - np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))[at]
+        order = np.argsort(depth.astype(np.uint16), kind="stable") if depth.max(initial=0) < 65536 else np.argsort(depth)
+        at, row, depth = at[order], row[order], depth[order]
+        level = np.searchsorted(depth, np.arange(int(depth[-1]) + 2)) if len(depth) else [0]
+        to = at + np.append(self.size, 1)[row]
+        last, origin = np.full(len(text) + 1, -1), np.zeros(len(text) + 1, np.int64)  # the piece that ends at a position and its start
+        last[starts] = none
+        for lo, hi in zip(level[:-1], level[1:], strict=True):  # edges that begin as far into their words, of all words at once
+            p, r, q = at[lo:hi], row[lo:hi], to[lo:hi]
+            open_ = (last[p] >= 0) & (last[q] < 0)
+            p, r, q = p[open_], r[open_], q[open_]
+            fits = self.compatible(last[p], r)
+            last[q[fits]], origin[q[fits]] = r[fits], p[fits]
+        if (last[ends] < 0).any():
+            raise AssertionError("a word has no path")
+        path, p = np.zeros(len(text) + 1, bool), ends[ends > starts]
+        while len(p):
+            path[p] = True
+            p = origin[p]
+            p = p[~first[p]]
+        path = np.flatnonzero(path)
+        raw = [[self.byte[b] for b in joined[p - 1].encode("utf-8", "surrogatepass")] for p in path[last[path] == none].tolist()]
+        size = np.ones(len(path), np.int64)
+        size[last[path] == none] = [len(x) for x in raw]
+        ids = np.repeat(np.append(self.piece_id, 0)[last[path]], size)
+        ids[np.repeat(last[path] == none, size)] = [i for x in raw for i in x]
+        done = np.concatenate(([0], np.cumsum(size)))
+        lo, hi = (done[np.searchsorted(path, x, "right")] * 4 for x in (starts, ends))
+        held = ids.astype("<u4").tobytes()
+        for w, x, y in zip(words, lo.tolist(), hi.tolist(), strict=True):
+            self.words[w] = held[x:y]
+
+    def compatible(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether each piece may follow the one before it; both are rows, the row after the last is nothing."""
+        key = before * (len(self.size) + 1) + piece
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - RECENT)).astype(np.int64)
+        out = self.recent_fits[slot]
+        miss = np.flatnonzero(self.recent[slot] != key)
+        if len(miss):
+            out[miss] = fits = self.looked_up(key[miss])
+            want, first = np.unique(slot[miss], return_index=True)  # one key of those that want a slot
+            self.recent[want], self.recent_fits[want] = key[miss][first], fits[first]
+        return out
+
+    def looked_up(self, key: np.ndarray) -> np.ndarray:
+        none = len(self.size)
+        if len(self.pair) > PAIRS:
+            self.pair, self.pair_fits = self.pair[:0], self.pair_fits[:0]
+        key, inverse = np.unique(key, return_inverse=True)
+        known = np.append(self.pair, -1)[np.searchsorted(self.pair, key)] == key
+        if not known.all():
+            new = key[~known]
+            name = self.names
+            fits = np.array([k % (none + 1) == none or self.fit(name[k // (none + 1)], name[k % (none + 1)]) for k in new.tolist()], bool)
+            where = np.searchsorted(self.pair, new)
+            self.pair, self.pair_fits = np.insert(self.pair, where, new), np.insert(self.pair_fits, where, fits)
+        return self.pair_fits[np.searchsorted(self.pair, key)][inverse]
 
     # --- texts --------------------------------------------------------------------------------------------------
 
@@ -181,10 +218,7 @@ class Pieces:
         new = {w for p in parts for w in p if w not in self.words}
         new.discard("")
         if new:
-            self.learn([w if w[0] == "\n" else MARK + w for w in new])
-            for w in new:
-                if w[0] != "\n":
-                    self.words[w] = self.words.pop(MARK + w)
+            self.learn(list(new))
         out, one = [], self.id.get(MARK)
         for p in parts:
             if "" not in p:
