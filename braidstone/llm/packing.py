@@ -36,8 +36,9 @@ CACHE_CHUNKS = 250_000
 class ChunkIds(dict):
     """Ids of a chunk of text as bytes, computed on first sight.
 
-    A chunk begins at a blank or line feed that follows something else, and no pre-token of a byte-level BPE spans
-    such a place, so a text's ids are the ids of its chunks in order.
+    A chunk begins at a blank or line feed that follows something else, or at a single blank between line feeds and
+    a word, and no pre-token of a byte-level BPE spans such a place, so a text's ids are the ids of its chunks in
+    order. Line feeds in a row are one pre-token or more and stay together.
     """
 
     def __init__(self, path: str):
@@ -63,8 +64,8 @@ class ChunkIds(dict):
         return ids
 
     def ids(self, text: str) -> np.ndarray:
-        parts = text.replace("\n", " \n").split(" ")
-        if "" in parts or any(map(_odd, (text,))):
+        parts = cut(text)
+        if parts is None:
             return np.array(self.encode(text), self.kind)
         first = np.array(self.encode(parts[0]), self.kind).tobytes() if parts[0] else b""
         return np.frombuffer(first + b"".join(map(self.__getitem__, parts[1:])), self.kind)
@@ -78,6 +79,15 @@ def _odd(text: str) -> bool:
     return any(c in text for c in _ODD)
 
 
+def cut(text: str) -> list[str] | None:
+    """The chunks of a text, those after the first without their blank; none for a text that is encoded as a whole."""
+    joined = text.replace("\n", " \n")
+    if "\n \n" in joined:  # twice, as matches that overlap are left by the first
+        joined = joined.replace("\n \n", "\n\n").replace("\n \n", "\n\n")
+    parts = joined.split(" ")
+    return None if "" in parts or _odd(text) else parts
+
+
 _chunk_ids: dict[str, ChunkIds] = {}
 
 

@@ -19,17 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidstone.llm.packing import ChunkIds, _odd, chunk_ids
+from braidstone.llm.packing import ChunkIds, _odd, chunk_ids, cut
 
 _BORDER = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 def chunks(text: str) -> list[str]:
-    """Parts that tokenise on their own: a border lies between a character that is no blank and a blank or line feed."""
+    """Parts that tokenise on their own: a border lies between a character that is no blank and a blank or line feed.
+
+    A text that ``cut`` takes has one also between line feeds and the single blank of a word.
+    """
     if not text:
         return []
-    parts = text.replace("\n", " \n").split(" ")
-    if "" in parts or _odd(text):
+    parts = cut(text)
+    if parts is None:
         return _BORDER.split(text)
     return [parts[0], *[p if p[0] == "\n" else " " + p for p in parts[1:]]]
 

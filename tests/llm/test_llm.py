@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -123,6 +124,25 @@ def test_packing(docs, none):
     assert packing.pack(none, BPE).count() == 0
 
 
+def _blank_runs():
+    """Texts with every run of up to seven of a letter, a blank and a line feed, and longer runs."""
+    yield from ("".join(x) for n in range(8) for x in itertools.product("a \n", repeat=n))
+    yield from ("a\n\n\nb", "a b\n\n", "a\n\n", *(f"a's{chr(10) * n}1{chr(10) * (n - 1)} .b" for n in range(1, 20)))
+
+
+def test_line_feeds_in_a_row_as_the_library():
+    from tokenizers import Tokenizer
+
+    tk, known = Tokenizer.from_file(BPE), packing.chunk_ids(BPE)
+    for t in _blank_runs():
+        want = tk.encode(t, add_special_tokens=False).ids
+        assert known.ids(t).tolist() == want, t
+        assert token_counts.TokenTree(t, known).total == len(want), t
+        tree = token_counts.TokenTree(f"x\n{t}", known)
+        tree.edit(1, 1, "\n\n")
+        assert tree.total == len(tk.encode(f"x\n\n{t}", add_special_tokens=False).ids), t
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_place_every_item_once(seed):
     rng = random.Random(seed)
