@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,9 +40,12 @@ class ChunkIds(dict):
     A chunk begins at a blank or line feed that follows something else, or at a single blank between line feeds and
     a word, and no pre-token of a byte-level BPE spans such a place, so a text's ids are the ids of its chunks in
     order. Line feeds in a row are one pre-token or more and stay together.
+
+    Added tokens are found before pre-tokens, so a text that holds the content of one is encoded as a whole, between
+    them. ``literal``: the content of special ones is plain text (the library's ``encode_special_tokens``).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -53,8 +57,20 @@ class ChunkIds(dict):
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         for added in held["added_tokens"]:
             ranks.pop(added["content"].encode(), None)
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.kind = "<u2" if max(ranks.values()) < 65536 else "<u4"
+            if any(added[k] for k in ("single_word", "lstrip", "rstrip")) or re.search(r"\s", added["content"]):
+                raise ValueError(f"an added token that looks at what is around it, or has blanks: {added}")
+        self.added = {a["content"]: a["id"] for a in held["added_tokens"] if not (literal and a["special"])}
+        self._split = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})").split
+        self._plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.kind = "<u2" if max(*ranks.values(), *self.added.values()) < 65536 else "<u4"
+
+    def marked(self, text: str) -> bool:
+        return any(c in text for c in self.added)
+
+    def encode(self, text: str) -> list[int]:
+        if not self.marked(text):
+            return self._plain(text)
+        return [i for part in self._split(text) if part for i in ([self.added[part]] if part in self.added else self._plain(part))]
 
     def __missing__(self, part: str) -> bytes:
         ids = np.array(self.encode(part if part[:1] == "\n" else f" {part}"), self.kind).tobytes()
@@ -63,8 +79,16 @@ class ChunkIds(dict):
         self[part] = ids
         return ids
 
+    def cut(self, text: str) -> list[str] | None:
+        """The chunks of a text, those after the first without their blank; none for a text that is encoded as a whole."""
+        joined = text.replace("\n", " \n")
+        if "\n \n" in joined:  # twice, as matches that overlap are left by the first
+            joined = joined.replace("\n \n", "\n\n").replace("\n \n", "\n\n")
+        parts = joined.split(" ")
+        return None if "" in parts or _odd(text) or self.marked(text) else parts
+
     def ids(self, text: str) -> np.ndarray:
-        parts = cut(text)
+        parts = self.cut(text)
         if parts is None:
             return np.array(self.encode(text), self.kind)
         first = np.array(self.encode(parts[0]), self.kind).tobytes() if parts[0] else b""
@@ -79,32 +103,23 @@ def _odd(text: str) -> bool:
     return any(c in text for c in _ODD)
 
 
-def cut(text: str) -> list[str] | None:
-    """The chunks of a text, those after the first without their blank; none for a text that is encoded as a whole."""
-    joined = text.replace("\n", " \n")
-    if "\n \n" in joined:  # twice, as matches that overlap are left by the first
-        joined = joined.replace("\n \n", "\n\n").replace("\n \n", "\n\n")
-    parts = joined.split(" ")
-    return None if "" in parts or _odd(text) else parts
-
-
-_chunk_ids: dict[str, ChunkIds] = {}
+_chunk_ids: dict[tuple[str, bool], ChunkIds] = {}
 
 
-def chunk_ids(path: str) -> ChunkIds:
-    if path not in _chunk_ids:
-        _chunk_ids[path] = ChunkIds(path)
-    return _chunk_ids[path]
+def chunk_ids(path: str, literal: bool = False) -> ChunkIds:
+    if (path, literal) not in _chunk_ids:
+        _chunk_ids[path, literal] = ChunkIds(path, literal)
+    return _chunk_ids[path, literal]
 
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _pieces(path: str, window: int, end_id: int, schema: pa.Schema):
+def _pieces(path: str, window: int, end_id: int, schema: pa.Schema, literal: bool):
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = chunk_ids(path)
+        known = chunk_ids(path, literal)
         end = np.array([end_id], known.kind)
         for batch in batches:
             row, start, length, crc, total, held = [], [], [], [], [], []
@@ -247,12 +262,13 @@ def _placed(plan, schema: pa.Schema):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, literal: bool = True) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     The texts are tokenised once; remainders are stored with their ids, so that one that is cut gets its checksums
     without a second pass. Ranks within a length come from counts per (length, salt); the plan, a few thousand
-    intervals at most, is broadcast.
+    intervals at most, is broadcast. ``literal``: a special token's content in a text is plain text; the queries take
+    it as the token, as the library does by default.
     """
     spark = docs.sparkSession
     fields = [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
@@ -261,7 +277,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keys = ["doc_id", "start", "length", "ids_crc32"]
     salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
-    pieces = stage(rows.mapInArrow(_pieces(vocabulary, window, end_id, held), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, kind string"), "pieces").withColumn("salt", salt)
+    pieces = stage(rows.mapInArrow(_pieces(vocabulary, window, end_id, held, literal), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, kind string"), "pieces").withColumn("salt", salt)
     counts = stage(pieces.groupBy("length", "salt").count(), "counts")
     plan = Plan({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}, window).arrays()  # `window` rows at most
     before = counts.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))

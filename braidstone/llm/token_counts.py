@@ -19,19 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidstone.llm.packing import ChunkIds, _odd, chunk_ids, cut
+from braidstone.llm.packing import ChunkIds, _odd, chunk_ids
 
 _BORDER = re.compile(r"(?<=\S)(?=[ \n])")
 
 
-def chunks(text: str) -> list[str]:
+def chunks(text: str, known: ChunkIds) -> list[str]:
     """Parts that tokenise on their own: a border lies between a character that is no blank and a blank or line feed.
 
-    A text that ``cut`` takes has one also between line feeds and the single blank of a word.
+    A text that ``ChunkIds.cut`` takes has one also between line feeds and the single blank of a word.
     """
     if not text:
         return []
-    parts = cut(text)
+    parts = known.cut(text)
     if parts is None:
         return _BORDER.split(text)
     return [parts[0], *[p if p[0] == "\n" else " " + p for p in parts[1:]]]
@@ -48,7 +48,7 @@ class TokenTree:
     """Sums of tokens and characters over chunks, as a binary heap of ``2 * width`` nodes for each."""
 
     def __init__(self, text: str, known: ChunkIds):
-        self.known, self.leaves = known, chunks(text)
+        self.known, self.leaves = known, chunks(text, known)
         self.width = 1 << max(0, (len(self.leaves) - 1).bit_length())
         self.tokens, self.chars = np.zeros(2 * self.width, np.int64), np.zeros(2 * self.width, np.int64)
         n = len(self.leaves)
@@ -115,7 +115,7 @@ class TokenTree:
             right = step(b, 1)
             if right < len(self.leaves) and not (new and _BORDER.search(new[-1] + self.leaves[right][0])):
                 b, new, grew = right, new + self.leaves[right], True
-        parts = chunks(new)
+        parts = chunks(new, self.known)
         room = b - a + 1
         if len(parts) > room:  # more chunks than leaves: the last leaf takes the rest as one
             parts = [*parts[: room - 1], "".join(parts[room - 1 :])]

@@ -32,7 +32,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
-    return packing.pack(docs.select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    return packing.pack(docs.select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), literal=False)
 
 
 STAGES = [("language ID", languages), ("exact dedup", copies), ("n-gram Jaccard join", near_copies), ("secret scans", secrets), ("packing", packed)]

@@ -143,6 +143,36 @@ def test_line_feeds_in_a_row_as_the_library():
         assert tree.total == len(tk.encode(f"x\n\n{t}", add_special_tokens=False).ids), t
 
 
+MARK = "<|endoftext|>"
+MARKED = [f"x{MARK}y", MARK, f"a {MARK}\n b", f"a\n {MARK} b", f"a\n\n{MARK}\n\nb", f"{MARK}{MARK} 's", f"a \t{MARK}", MARK[:-1], f"quoted {MARK}. more"]
+
+
+def test_added_tokens_as_the_library_by_default(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from braidstone.llm import queries
+
+    tk, known = Tokenizer.from_file(BPE), packing.chunk_ids(BPE)
+    want = {i: tk.encode(t, add_special_tokens=False).ids for i, t in enumerate(MARKED)}
+    assert want[0] == [87, 50256, 88]
+    df = spark.createDataFrame([*enumerate(MARKED)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (queries.op2_packing(spark, str(tmp_path)).collect(), corpus_pipeline.packed(spark, df, "").collect()):
+        assert {r.doc_id for r in got} == set(want)
+        for r in got:
+            ids = np.array([*want[r.doc_id], 1], "<u4")
+            assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()), MARKED[r.doc_id]
+    for i, t in enumerate(MARKED):
+        assert token_counts.TokenTree(t, known).total == len(want[i]), t
+        for at in range(len(t)):  # the mark is broken, then made whole again
+            tree = token_counts.TokenTree(t, known)
+            tree.edit(at, 1, "")
+            assert tree.total == len(tk.encode(t[:at] + t[at + 1 :], add_special_tokens=False).ids), (t, at)
+            tree.edit(at, 0, t[at])
+            assert tree.text() == t and tree.total == len(want[i]), (t, at)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_place_every_item_once(seed):
     rng = random.Random(seed)
