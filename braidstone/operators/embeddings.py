@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidstone.functions.staging import stage
 from braidstone.functions.vectors import add, cosine, doubles, subtract
 
 #: Rows and queries of one block of a search.
 BLOCK = 4096
+#: Blocks a side of a grid of counts that the driver holds.
+GRID = 1000
 
 
 def _block(c: str, blocks: int) -> Column:
@@ -84,12 +88,79 @@ def pair_scores(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(a, "w1").join(b, "w2").select("w1", "w2", "human", cosine(F.col("x"), F.col("y")).alias("score"))
 
 
-def kendall_tau_b(scores: DataFrame, x: str, y: str, order: str, max_pairs: int = 999) -> DataFrame:
-    """``(n, tau)``. The word-pair lists this is for are cut to ``max_pairs`` (a parameter of the loader too), held in one row."""
-    listed = scores.orderBy(order).limit(max_pairs).agg(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("x"), F.col(y).alias("y"))).alias("l"))
-    both = listed.select("l", F.explode("l").alias("p")).select("p", F.explode("l").alias("q")).filter("p.o < q.o")
-    sx, sy = F.signum(F.col("p.x") - F.col("q.x")), F.signum(F.col("p.y") - F.col("q.y"))
-    return both.agg(F.sum(sx * sy).alias("s"), F.sum(F.abs(sx)).alias("a"), F.sum(F.abs(sy)).alias("b")).select(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("s") / F.sqrt(F.col("a") * F.col("b"))).alias("tau"))
+def _placed(rows: DataFrame, by: list[str], name: str, parts: int) -> DataFrame:
+    """``rows`` with their place in the order of ``by`` as ``name``: places within ranges, after the counts of the ranges before."""
+    dealt = stage(rows.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()), f"{name}-ranges")
+    offsets, before = [], 0
+    for part, n in sorted(map(tuple, dealt.groupBy("part").count().collect())):
+        offsets.append((part, before))
+        before += n
+    table = rows.sparkSession.createDataFrame(offsets, "part int, before long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*by)) - 1 + F.col("before")
+    return stage(dealt.join(F.broadcast(table), "part").select(*rows.columns, place.cast("long").alias(name)), name)
+
+
+def _inversions(a: np.ndarray) -> int:
+    """Pairs of places whose values, all different, stand in falling order: bit by bit, ones before zeros among equal higher bits."""
+    ranks, total = np.argsort(np.argsort(a)), 0
+    for k in range(max(0, len(ranks) - 1).bit_length()):
+        r = ranks[np.argsort(ranks >> (k + 1), kind="stable")]
+        high, bit = r >> (k + 1), r >> k & 1
+        ones = np.cumsum(bit)
+        first = np.flatnonzero(np.append(True, high[1:] != high[:-1]))
+        base = np.repeat((ones - bit)[first], np.diff(np.append(first, len(r))))
+        total += int((ones - base)[bit == 0].sum())
+    return total
+
+
+def _discordant(rows: DataFrame, n: int) -> int:
+    """Pairs of ``rows(p, q)``, two places of each, that stand in one order by p and in the other by q.
+
+    Blocks of places make a grid of GRID x GRID counts at most. Pairs that differ in both blocks follow from the
+    counts; those of one p block, and those of one q block but two p blocks, are counted within the block.
+    """
+    width = max(BLOCK, -(-n // GRID))
+    cells = rows.select("p", "q", F.floor(F.col("p") / width).alias("pb"), F.floor(F.col("q") / width).alias("qb"))
+    grid = np.zeros((-(-n // width),) * 2, np.int64)
+    for pb, qb, c in cells.groupBy("pb", "qb").count().collect():
+        grid[pb, qb] = c
+    before = np.cumsum(grid, 0) - grid
+    total = int((grid * (np.cumsum(before[:, ::-1], 1)[:, ::-1] - before)).sum())
+
+    def within_p(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"d": [_inversions(f.sort_values("p")["q"].to_numpy())]})
+
+    def within_q(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("p")
+        same = sum(_inversions(g["q"].to_numpy()) for _, g in f.groupby("pb"))
+        return pd.DataFrame({"d": [_inversions(f["q"].to_numpy()) - same]})
+
+    found = cells.groupBy("pb").applyInPandas(within_p, "d long").unionByName(cells.groupBy("qb").applyInPandas(within_q, "d long"))
+    return total + (found.agg(F.sum("d")).first()[0] or 0)
+
+
+def kendall_tau_b(scores: DataFrame, x: str, y: str, order: str, max_pairs: int | None = None) -> DataFrame:
+    """``(tau)`` over all rows of ``scores``, or the first ``max_pairs`` by ``order`` (a parameter of the loader too).
+
+    Values are taken as doubles. Rows without an x or a y are left out; a NaN makes the result NaN; no two different
+    values of x or of y make it null.
+    """
+    spark = scores.sparkSession
+    listed = scores.orderBy(order).limit(max_pairs) if max_pairs else scores
+    value = lambda c: (F.col(c).cast("double") + 0.0)  # noqa: E731  one zero
+    rows = stage(listed.select(F.col(order).alias("o"), value(x).alias("x"), value(y).alias("y")).dropna(subset=["x", "y"]), "scores")
+    n, odd = rows.agg(F.count(F.lit(1)), F.max(F.isnan("x") | F.isnan("y"))).first()
+    ties = lambda *k: int(rows.groupBy(*k).count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] or 0)
+    tau = float("nan") if odd else None
+    if n and not odd:
+        both, one, two = n * (n - 1) // 2, ties("x"), ties("y")
+        if both > one and both > two:
+            parts = max(1, -(-n // BLOCK))
+            # equal values of y take the order of p, so that neither ties of x nor ties of y count as discordant
+            p = _placed(rows, ["x", "y", "o"], "p", parts)
+            d = _discordant(_placed(p.select("y", "p"), ["y", "p"], "q", parts), n)
+            tau = (both - one - two + ties("x", "y") - 2 * d) / math.sqrt(float(both - one) * float(both - two))
+    return spark.createDataFrame([(tau,)], "tau double")
 
 
 def paired_fscore(items: DataFrame, target: str, predicted: str, gold: str) -> DataFrame:

@@ -217,3 +217,22 @@ def test_commit_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.status for r in spark.table("commits").orderBy("arrival").collect()] == ["ok", "conflict", "replay", "ok"]
+
+
+def _tau_b(pairs):
+    sign = lambda a: (a > 0) - (a < 0)
+    both = [(sign(a - c), sign(b - d)) for i, (a, b) in enumerate(pairs) for c, d in pairs[:i]]
+    s, a, b = sum(x * y for x, y in both), sum(x * x for x, _ in both), sum(y * y for _, y in both)
+    return s / math.sqrt(a * b) if a and b else None
+
+
+@pytest.mark.parametrize("kind,n,block", [("free", 1500, 4096), ("ties", 1500, 100), ("free", 700, 64), ("few", 400, 30), ("one", 50, 7), ("none", 0, 7)])
+def test_tau_takes_all_pairs(spark, monkeypatch, kind, n, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rng = random.Random(n + block)
+    draw = {"free": rng.random, "ties": lambda: rng.randrange(40) - 20.0, "few": lambda: rng.choice([0.0, -0.0, 1.0]), "one": lambda: 3.0, "none": None}[kind]
+    pairs = [(x, x + 20 * rng.random() if kind == "free" and i < n / 2 else draw()) for i in range(n) for x in [draw()]]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id long, x double, y double").repartition(3)
+    got = embeddings.kendall_tau_b(df, "x", "y", "id").collect()
+    want = _tau_b(pairs)
+    assert len(got) == 1 and (got[0].tau is None if want is None else got[0].tau == pytest.approx(want, abs=1e-12))
