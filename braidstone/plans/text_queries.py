@@ -82,10 +82,10 @@ def ppmi(spark, d):
     return r6(text.ppmi(cooccurrence_w2(spark, d)), "ppmi")
 
 
-def _similar(spark, d, value):
+def _similar(spark, d, value, targets=lambda vocab: vocab.orderBy(F.desc("n"), "word").limit(TARGETS)):
     vocab = stage(text.vocabulary(text.tokens(docs(spark, d))), "vocabulary")
     cells = stage(text.ppmi(cooccurrence_w2(spark, d)), "cells")
-    return r6(text.similar(cells, value, vocab.orderBy(F.desc("n"), "word").limit(TARGETS), vocab), "sim")
+    return r6(text.similar(cells, value, targets(vocab), vocab), "sim")
 
 
 def similar_words_raw(spark, d):
@@ -96,6 +96,18 @@ def similar_words_ppmi(spark, d):
     return _similar(spark, d, "ppmi")
 
 
+def _every_20th(vocab):
+    return stage(text.indexed(vocab).filter("idx % 20 = 0").drop("idx"), "targets")
+
+
+def similar_words_raw_every_20th(spark, d):
+    return _similar(spark, d, "n", _every_20th)
+
+
+def similar_words_ppmi_every_20th(spark, d):
+    return _similar(spark, d, "ppmi", _every_20th)
+
+
 def group_pair_similarity(spark, d):
     units = docs(spark, d).withColumn("unit", F.concat_ws("/", "source", "lang"))
     sims = text.sparse_cosine(text.term_document(units, "unit"), "doc", "word", "tf")
@@ -129,7 +141,7 @@ def uniform_cross_entropy(spark, d):
     return r6(chars.cross_entropy(chars.char_counts(docs(spark, d))), "uniform", "unigram")
 
 
-QUERIES = {f.__name__: f for f in (word_count_min50, term_document, doc_frequency, td_sparsity, document_similarity, document_rank, tfidf, top_terms_raw, top_terms_tfidf, cooccurrence_w2, cooccurrence_sweep, ppmi, similar_words_raw, similar_words_ppmi, group_pair_similarity, char_vocab, char_encode, char_decode, train_val_split, char_blocks, uniform_cross_entropy)}
+QUERIES = {f.__name__: f for f in (word_count_min50, term_document, doc_frequency, td_sparsity, document_similarity, document_rank, tfidf, top_terms_raw, top_terms_tfidf, cooccurrence_w2, cooccurrence_sweep, ppmi, similar_words_raw, similar_words_ppmi, similar_words_raw_every_20th, similar_words_ppmi_every_20th, group_pair_similarity, char_vocab, char_encode, char_decode, train_val_split, char_blocks, uniform_cross_entropy)}
 
 _TOK = r"""tok as (select doc_id, source, lang, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from (
   select doc_id, source, lang, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') as w from documents))"""
@@ -161,6 +173,11 @@ def _similar_sql(value: str) -> str:
       select word, neighbour, round(sim, 6) as sim, rank from (select *, row_number() over (partition by word order by round(sim, 6) desc, neighbour) as rank from al) where rank <= 10"""
 
 
+def _every_20th_sql(value: str) -> str:
+    targets = "tg as (select word from (select word, row_number() over (order by word) - 1 as idx from voc) where idx % 20 = 0)"
+    return _similar_sql(value).replace(f"tg as (select word from voc order by n desc, word limit {TARGETS})", targets)
+
+
 _CH = "ch as (select doc_id, unnest(c) as ch, unnest(range(1, len(c) + 1)) as pos from (select doc_id, string_split(text, '') as c from documents where text <> '')), cv as (select ch, (row_number() over (order by ch) - 1)::integer as id from (select distinct ch from ch))"
 _AT = "pl as (select doc_id, coalesce(text, '') as text, length(coalesce(text, ''))::bigint as size, (sum(length(coalesce(text, ''))) over (order by doc_id) - length(coalesce(text, '')))::bigint as off from documents)"
 
@@ -179,6 +196,8 @@ ORACLES = {
     "ppmi": f"with {_PPMI} select w, c, n, round(ppmi, 6) as ppmi from pp",
     "similar_words_raw": _similar_sql("n"),
     "similar_words_ppmi": _similar_sql("ppmi"),
+    "similar_words_raw_every_20th": _every_20th_sql("n"),
+    "similar_words_ppmi_every_20th": _every_20th_sql("ppmi"),
     "group_pair_similarity": f"with {_VOC}, td as (select word, source || '/' || lang as doc, lang, count(*) as tf from tok where word in (select word from voc) group by 1, 2, 3), vec as (select doc as k, word as dim, tf::double as v from td), {_SIM}, g as (select distinct doc, lang from td) select least(x.lang, y.lang) as group_a, greatest(x.lang, y.lang) as group_b, round(avg(sim), 6) as mean_sim, count(*)::bigint as pairs from sims join g x on x.doc = a join g y on y.doc = b group by 1, 2",
     "char_vocab": f"with {_CH} select ch, id from cv",
     "char_encode": f"with {_CH}, e as (select doc_id, count(*)::bigint as n, md5(string_agg(id::varchar, ',' order by pos)) as ids_md5 from ch join cv using (ch) group by doc_id) select d.doc_id, coalesce(n, 0)::bigint as n, coalesce(ids_md5, md5('')) as ids_md5 from documents d left join e using (doc_id)",

@@ -236,3 +236,12 @@ def test_tau_takes_all_pairs(spark, monkeypatch, kind, n, block):
     got = embeddings.kendall_tau_b(df, "x", "y", "id").collect()
     want = _tau_b(pairs)
     assert len(got) == 1 and (got[0].tau is None if want is None else got[0].tau == pytest.approx(want, abs=1e-12))
+
+
+def test_similar_words_ask_for_every_20th(spark):
+    from braidstone.plans import text_queries
+
+    d = "/root/testdata/sf0.001"
+    want = {r.word for r in text_queries.word_count_min50(spark, d).filter("idx % 20 = 0").collect()}
+    got = text_queries.similar_words_ppmi_every_20th(spark, d).toPandas()
+    assert want and set(got["word"]) == want and (got.groupby("word").size() == 10).all()
