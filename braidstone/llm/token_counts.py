@@ -2,11 +2,14 @@
 
 A document is kept as a segment tree over its chunks (what no pre-token reaches beyond): each leaf has its chunk's
 tokens and characters, each node the sums below it. An edit finds its leaves by descending on characters, re-encodes
-only those and one on either side, further while a chunk border is no longer one, and updates the sums above.
+only those and one on either side, further while a chunk border is no longer one, and updates the sums above. Where an
+edit makes more chunks than it found leaves, the leaves of the smallest subtree with room are spread out in it, and
+the tree doubles when none has: every chunk keeps a leaf of its own, however often and long text is inserted.
 
 Defined cases: a null text is empty and has no tokens. Edits apply in order, each to the text the one before left;
-positions and lengths beyond the text are cut to it; a null edit list is none. Repeated rows are counted alike. An
-empty table gives an empty result. Extra columns are not carried.
+positions and lengths beyond the text are cut to it, null ones are 0; a null edit list is none, a null edit inserts
+nothing. Repeated rows, null ids too, are counted one by one. An empty table gives an empty result. Extra columns are
+not carried.
 """
 
 from __future__ import annotations
@@ -19,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidstone.llm.packing import ChunkIds, _odd, chunk_ids
+from braidstone.llm.common import frugal
+from braidstone.llm.packing import CACHE_CHUNKS, ChunkIds, chunk_ids
 
 _BORDER = re.compile(r"(?<=\S)(?=[ \n])")
+#: Chunks of more characters are counted anew each time; texts held as Python strings at once.
+LONG, BATCH = 64, 500
 
 
 def chunks(text: str, known: ChunkIds) -> list[str]:
@@ -34,67 +40,118 @@ def chunks(text: str, known: ChunkIds) -> list[str]:
     parts = known.cut(text)
     if parts is None:
         return _BORDER.split(text)
-    return [parts[0], *[p if p[0] == "\n" else " " + p for p in parts[1:]]]
+    return [parts[0], *[p if p[0] == "\n" else " " + p for p in parts[1:]]] if parts[0] else [p if p[0] == "\n" else " " + p for p in parts[1:]]
 
 
-def count(known: ChunkIds, chunk: str) -> int:
-    size = int(known.kind[-1])
-    if chunk[:1] == " " and chunk[1:2] not in ("", " ", "\n") and not _odd(chunk):
-        return len(known[chunk[1:]]) // size
-    return len(known[chunk]) // size if chunk[:1] == "\n" and not _odd(chunk) else len(known.encode(chunk))
+class ChunkCounts(dict):
+    """How many tokens a chunk has, computed on first sight."""
+
+    def __init__(self, known: ChunkIds):
+        self.encode = known.encode
+
+    def __missing__(self, chunk: str) -> int:
+        n = len(self.encode(chunk))
+        if len(chunk) <= LONG:
+            if len(self) >= 2 * CACHE_CHUNKS:
+                self.clear()
+            self[chunk] = n
+        return n
+
+
+_counts: dict[int, ChunkCounts] = {}
+
+
+def chunk_counts(known: ChunkIds) -> ChunkCounts:
+    if id(known) not in _counts:
+        _counts[id(known)] = ChunkCounts(known)
+    return _counts[id(known)]
 
 
 class TokenTree:
-    """Sums of tokens and characters over chunks, as a binary heap of ``2 * width`` nodes for each."""
+    """Sums of tokens and characters over chunks, as a binary heap of ``2 * width`` nodes for each; a leaf may be empty."""
 
     def __init__(self, text: str, known: ChunkIds):
-        self.known, self.leaves = known, chunks(text, known)
-        self.width = 1 << max(0, (len(self.leaves) - 1).bit_length())
-        self.tokens, self.chars = np.zeros(2 * self.width, np.int64), np.zeros(2 * self.width, np.int64)
-        n = len(self.leaves)
-        self.tokens[self.width : self.width + n] = [count(known, c) for c in self.leaves]
-        self.chars[self.width : self.width + n] = [len(c) for c in self.leaves]
-        level = self.width
-        while level > 1:
-            for a in (self.tokens, self.chars):
-                a[level // 2 : level] = a[level : 2 * level : 2] + a[level + 1 : 2 * level : 2]
-            level //= 2
-        self.encoded = 0  # leaves encoded again by edits
+        self.known, self.count = known, chunk_counts(known)
+        parts = chunks(text, known)
+        self.size, self.encoded = len(parts), 0  # chunks at first; chunks encoded again by edits
+        self._lay(parts, [*map(self.count.__getitem__, parts)], 1 << max(0, (len(parts) - 1).bit_length()))
+
+    def _lay(self, parts: list[str], tokens: list[int], width: int) -> None:
+        n = len(parts)
+        self.width, self.leaves = width, parts + [""] * (width - n)
+        self.sums = np.zeros((2, 2 * width), np.int64)
+        self.sums[0, width : width + n] = tokens
+        self.sums[1, width : width + n] = [*map(len, parts)]
+        self._sum(width, width)
+
+    def _sum(self, node: int, span: int) -> None:
+        """The sums of the levels above the ``span`` leaves from heap place ``node`` on, within their subtree."""
+        while span > 1:
+            below = self.sums[:, node : node + span]
+            node, span = node // 2, span // 2
+            self.sums[:, node : node + span] = below[:, ::2] + below[:, 1::2]
 
     @property
     def total(self) -> int:
-        return int(self.tokens[1])
+        return int(self.sums[0, 1])
 
     def text(self) -> str:
         return "".join(self.leaves)
 
     def _leaf(self, at: int) -> tuple[int, int]:
-        """The leaf that holds character ``at`` and where it begins; the last leaf for the text's end."""
-        node, start = 1, 0
+        """The leaf that holds character ``at`` and where it begins; the last leaf that is not empty for the text's end."""
+        node, start, chars = 1, 0, self.sums[1]
         while node < self.width:
             node *= 2
-            if at - start >= self.chars[node] and self.chars[node + 1] > 0:
-                start += int(self.chars[node])
+            if at - start >= chars[node] and chars[node + 1] > 0:
+                start += int(chars[node])
                 node += 1
         return node - self.width, start
 
     def _set(self, leaf: int, chunk: str) -> None:
         self.leaves[leaf] = chunk
         node = leaf + self.width
-        dt, dc = count(self.known, chunk) - self.tokens[node] if chunk else -self.tokens[node], len(chunk) - self.chars[node]
-        self.encoded += bool(chunk)
+        change = (self.count[chunk] if chunk else 0) - int(self.sums[0, node]), len(chunk) - int(self.sums[1, node])
+        tokens, chars = self.sums
         while node:
-            self.tokens[node] += dt
-            self.chars[node] += dc
+            tokens[node] += change[0]
+            chars[node] += change[1]
+            node //= 2
+
+    def _spread(self, a: int, b: int, parts: list[str]) -> None:
+        """Puts ``parts`` in place of the leaves a to b, with the others of the smallest subtree that has room."""
+        span = 1
+        while span <= self.width:
+            lo = a // span * span
+            if b < lo + span:
+                left, right = ([i for i in r if self.leaves[i]] for r in (range(lo, a), range(b + 1, lo + span)))
+                if 4 * (m := len(left) + len(parts) + len(right)) <= 3 * span:
+                    break
+            span *= 2
+        chunk = [*(self.leaves[i] for i in left), *parts, *(self.leaves[i] for i in right)]
+        tokens = [*(int(self.sums[0, self.width + i]) for i in left), *map(self.count.__getitem__, parts), *(int(self.sums[0, self.width + i]) for i in right)]
+        if span > self.width:  # the whole tree has no room
+            self._lay([], [], 1 << (2 * m - 1).bit_length())
+            lo, span = 0, self.width
+        before = self.sums[:, (self.width + lo) // span].copy()
+        self.leaves[lo : lo + span] = [""] * span
+        under = self.sums[:, self.width + lo : self.width + lo + span]
+        under[:] = 0
+        for i, (c, t) in enumerate(zip(chunk, tokens, strict=True)):
+            at = i * span // m
+            self.leaves[lo + at], under[0, at], under[1, at] = c, t, len(c)
+        self._sum(self.width + lo, span)
+        node = (self.width + lo) // span
+        change = self.sums[:, node] - before
+        while node > 1:
             node //= 2
+            self.sums[:, node] += change
 
     def edit(self, at: int, deleted: int, inserted: str) -> None:
         """Replace ``deleted`` characters from ``at`` on by ``inserted``."""
-        whole = int(self.chars[1])
+        whole = int(self.sums[1, 1])
         at = min(max(at, 0), whole)
         deleted = min(max(deleted, 0), whole - at)
-        if not self.leaves:
-            self.leaves = [""]
         a, start = self._leaf(at)
         b = self._leaf(max(at, at + deleted - 1))[0]
         new = "".join(self.leaves[a : b + 1])
@@ -102,7 +159,7 @@ class TokenTree:
 
         def step(i: int, by: int) -> int:
             i += by
-            while 0 <= i < len(self.leaves) and not self.leaves[i]:
+            while 0 <= i < self.width and not self.leaves[i]:
                 i += by
             return i
 
@@ -113,15 +170,16 @@ class TokenTree:
             if left >= 0 and not (new and _BORDER.search(self.leaves[left][-1] + new[0])):
                 a, new, grew = left, self.leaves[left] + new, True
             right = step(b, 1)
-            if right < len(self.leaves) and not (new and _BORDER.search(new[-1] + self.leaves[right][0])):
+            if right < self.width and not (new and _BORDER.search(new[-1] + self.leaves[right][0])):
                 b, new, grew = right, new + self.leaves[right], True
-        parts = chunks(new, self.known)
-        room = b - a + 1
-        if len(parts) > room:  # more chunks than leaves: the last leaf takes the rest as one
-            parts = [*parts[: room - 1], "".join(parts[room - 1 :])]
-        for i in range(room):
+        parts, old = chunks(new, self.known), self.leaves[a : b + 1]
+        self.encoded += sum(p not in old for p in parts)
+        if len(parts) > len(old):
+            self._spread(a, b, parts)
+            return
+        for i, was in enumerate(old):
             chunk = parts[i] if i < len(parts) else ""
-            if chunk != self.leaves[a + i]:
+            if chunk != was:
                 self._set(a + i, chunk)
 
 
@@ -131,19 +189,19 @@ def edited_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     ``edits``: array of structs (at, deleted, inserted).
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = chunk_ids(vocabulary)
         names = ["n_tokens", "n_edits", "n_tokens_after", "n_chunks", "n_encoded"]
-        for b in batches:
+        for b in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
             out = []
             for text, edits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 tree = TokenTree(text or "", known)
-                before, n = tree.total, len(tree.leaves)
-                for e in edits or []:
+                before = tree.total
+                for e in filter(None, edits or []):
                     tree.edit(e["at"] or 0, e["deleted"] or 0, e["inserted"] or "")
-                out.append((before, len(edits or []), tree.total, n, tree.encoded))
-            cols = zip(*out, strict=True) if out else [()] * 5
-            yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", *names])
+                out.append((before, len(edits or []), tree.total, tree.size, tree.encoded))
+            yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], ["doc_id", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), "edits")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_chunks long, n_encoded long")

@@ -358,3 +358,44 @@ def test_piece_codec_full_cache(monkeypatch):
         texts = [_text(rng, 40), "the of and red", "x" * 700 + " 日本 🎉é \n\n  two", None, ""]
         for t, ids in zip(texts, codec.encode(texts), strict=True):
             assert ids.tolist() == (sp.encode(t) if t else [])
+
+
+def _edited(text, edits):
+    for e in filter(None, edits or []):
+        at = min(max(e[0] or 0, 0), len(text))
+        text = text[:at] + (e[2] or "") + text[at + max(e[1] or 0, 0) :]
+    return text
+
+
+def test_edited_counts(spark):
+    """Null texts, edit lists, edits and fields, ids repeated or null, a text that grows a hundredfold."""
+    from tokenizers import Tokenizer
+
+    tk, rng = Tokenizer.from_file(BPE), random.Random(9)
+    grow = [(rng.randrange(400 * (i + 1)), 0, " more words\nput in" * rng.randrange(1, 30)) for i in range(40)]
+    rows = [(1, None, None), (1, None, [(0, 3, "new text")]), (2, "", []), (3, "a b  c", [None, (None, None, None), (99, 5, " end"), (-4, 2, "")]), (3, "a b  c", None), (None, "one two", [(0, 0, "x")]), (4, _text(rng, 30), grow), (5, "x" * 30_000, [(15_000, 1, " ")]), (5, _text(rng, 4000), grow)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<at:int,deleted:int,inserted:string>>")
+    got = Counter((r.doc_id, r.n_tokens, r.n_edits, r.n_tokens_after) for r in token_counts.edited_counts(df.withColumn("n_tokens", F.lit("clash")), BPE).collect())
+    n = lambda t: len(tk.encode(t, add_special_tokens=False).ids)
+    assert got == Counter((i, n(t or ""), len(e or []), n(_edited(t or "", e))) for i, t, e in rows)
+    assert token_counts.edited_counts(df.limit(0), BPE).count() == 0
+
+
+def test_every_chunk_keeps_a_leaf():
+    """After long insertions an edit encodes again a few chunks, not all that were put in."""
+    tree = token_counts.TokenTree("one two three", packing.chunk_ids(BPE))
+    for at in (3, 5000, 12, 40_000):
+        tree.edit(at, 0, " inserted words" * 4000)
+        assert max(map(len, tree.leaves)) < 20 and tree.sums[:, 1].tolist() == tree.sums[:, tree.width :].sum(1).tolist()
+    before = tree.encoded
+    tree.edit(30_000, 4, "xy")
+    assert tree.encoded - before <= 5
+
+
+def test_sampled_edits(spark, docs):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(BPE)
+    made = token_counts.sample_edits(docs).collect()
+    got = Counter((r.doc_id, r.n_tokens_after) for r in token_counts.edited_counts(token_counts.sample_edits(docs), BPE).collect())
+    assert got == Counter((r.doc_id, len(tk.encode(_edited(r.text or "", r.edits), add_special_tokens=False).ids)) for r in made)
