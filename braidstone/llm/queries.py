@@ -50,8 +50,8 @@ def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup.exact_dedup(documents(spark, sf_dir, "doc_id", "text"))
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

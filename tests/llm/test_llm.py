@@ -53,10 +53,34 @@ def test_exact_dedup(docs, none):
     groups: dict[str, list[int]] = {}
     for i, t, *_ in rows:
         groups.setdefault(t or "", []).append(i)
-    got = exact_dedup.exact_dedup(docs, block_chars=64).collect()
+    out = exact_dedup.exact_dedup(docs, block_chars=64)
+    assert out.columns == ["doc_id", "text", "lang", "__bs_text", "input_kept", "n", "keep_id", "group_size", "kept"]
+    got = out.collect()
+    assert {(r["__bs_text"], r.input_kept) for r in got} == {("clash", "clash")}
     assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter((i, max(groups[t or ""]), len(groups[t or ""])) for i, t, *_ in rows)
     assert Counter(r.keep_id for r in got if r.kept) == Counter({max(g): 1 for g in groups.values()})
-    assert exact_dedup.exact_dedup(none).count() == 0
+    stay = exact_dedup.kept_rows(docs, block_chars=64)
+    assert stay.columns == docs.columns and Counter(tuple(r) for r in stay.collect()) == Counter({rows[max(g)]: 1 for g in groups.values()})
+    assert exact_dedup.exact_dedup(none).count() == exact_dedup.kept_rows(none).count() == 0
+
+
+def test_names_follow_the_order_of_blocks(spark):
+    """Equal blocks one name, larger ones larger names, common ones apart; ids null or repeated."""
+    rng = random.Random(8)
+    blocks = ["".join(rng.choice("ab") for _ in range(3)) for _ in range(4000)] + ["hot"] * 3000
+    df = spark.createDataFrame([(i, 1, b) for i, b in enumerate(blocks)], "u long, l int, b string").repartition(5)
+    got = exact_dedup._name(df, ["b"], "names").collect()
+    names = {}
+    for r in got:
+        assert names.setdefault(blocks[r.u], r["__bs_name"]) == r["__bs_name"]
+    assert len(got) == len(blocks) and len(set(names.values())) == len(names)
+    few = spark.createDataFrame([(i, 1, f"{i % 700:04d}") for i in range(1400)], "u long, l int, b string").repartition(5)
+    by_block = sorted({(f"{r.u % 700:04d}", r["__bs_name"]) for r in exact_dedup._name(few, ["b"], "names").collect()})
+    assert len(by_block) == 700 and [x[1] for x in by_block] == sorted(x[1] for x in by_block)
+    rows = [(None, "t"), (None, "t"), (4, "t"), (4, "u"), (4, "u"), (None, None), (7, "")]
+    out = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.text or "", r.keep_id, r.group_size) for r in out) == Counter({("t", 4, 3): 3, ("u", 4, 2): 2, ("", 7, 2): 2})
+    assert Counter(r.text or "" for r in out if r.kept) == {"t": 1, "u": 1, "": 1}
 
 
 def _sets(rows):
@@ -212,6 +236,37 @@ def test_secret_scan(spark, none):
     assert secret_scan.digest(secret_scan.scan(none)).count() == 0
 
 
+def test_secrets_of_odd_rows(spark):
+    """Ids null or repeated, columns with any name, a long text."""
+    long = "lorem ipsum " * 20_000 + "token=abcdefgh"
+    rows = [(1, SECRETS[3], "raw", "k", 1), (1, "clean", "raw", "k", 1), (None, "api_key: 'xyzxyz'", "raw", "k", 2), (None, None, "raw", "k", 2), (5, long, "raw", "k", 3), (5, long, "raw", "k", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __bs_text string, kinds string, spans int")
+    got = Counter((r.doc_id, r.n_assign, r.n_access) for r in secret_scan.digest(secret_scan.scan(df)).collect())
+    assert got == Counter({(1, 0, 1): 1, (1, 0, 0): 1, (None, 1, 0): 1, (None, 0, 0): 1, (5, 1, 0): 2})
+    clean = secret_scan.redact(df)
+    assert clean.columns == df.columns
+    want = ["token=token:abcdefg [secret] AKIAB", "clean", "[secret]'", None, long[:-14] + "[secret]", long[:-14] + "[secret]"]
+    assert Counter(tuple(r) for r in clean.collect()) == Counter((i, t, *more) for (i, _, *more), t in zip(rows, want, strict=True))
+
+
+def test_trigram_queries_follow_from_the_pattern(spark):
+    """Whatever matches a pattern holds the trigrams of one of its alternatives, lower-cased."""
+    grams = lambda *parts: sorted({g for p in parts for g in secret_scan.trigrams(p)})
+    q = secret_scan.queries()
+    assert q["assign"] == sorted(map(grams, ["password", "passwd", "secret", "token", "apikey", "api_key"]))
+    assert q["access"] == [grams("akia")] and q["hex"] == [] and q["bearer"] == sorted(grams(f"gh{c}_") for c in "pousr")
+    assert q["pem"] == [grams("-----begin ", "private key-----")] and q["jwt"] == [grams("eyj", ".eyj")]
+    odd = {"abc|x": [], "(abc)?def": [["def"]], "a[bc]d{2}ef": [["abd"], ["acd"]], "(?:ab)+cde": [["cde"]], "a.c": [], "[^a]bcd$": [["bcd"]], "(a|bcd)efg": sorted([grams("aefg"), grams("bcdefg")]), "(": []}
+    assert {p: secret_scan.mandatory(p) for p in odd} == odd
+    rng = random.Random(4)
+    rules = tuple(secret_scan.Rule(f"k{i}", p) for i, p in enumerate(["(ab|ba)+c?aab", "[ab]c{1,2}aa|bbb", "aa(?:b|ca)?cc"]))
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(30))) for _ in range(300)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for r in secret_scan.scan(df, rules).collect():
+        want = sorted((m.start(), k, m.end()) for k, rule in enumerate(rules) for m in re.finditer(rule.pattern, texts[r.id]))
+        assert [(x["start"], x["ord"], x["end"]) for x in r.spans] == want, texts[r.id]
+
+
 def test_pieces_as_the_library(docs, none):
     import sentencepiece
 
