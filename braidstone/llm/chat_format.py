@@ -93,7 +93,10 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
 
 def record_turns(record: str | None) -> list[tuple[str, str]]:
-    """(role, text) of a JSON record in any declared layout but rows; none for another record."""
+    """(role, text) of a JSON record in any declared layout but rows; none for another record.
+
+    A record is another one too if one of its messages is no object, or a role or text is neither a string nor null.
+    """
     try:
         value = json.loads(record or "null")
     except ValueError:
@@ -101,9 +104,15 @@ def record_turns(record: str | None) -> list[tuple[str, str]]:
     layout = MAPPINGS.get(fingerprint(record_paths(value))) if isinstance(value, dict) else None
     if layout is None or layout.name == "rows":
         return []
-    if layout.items:
-        return [(ROLES.get(m.get(layout.role) or "", m.get(layout.role) or ""), str(m.get(layout.text) or "")) for m in value[layout.items]]
-    return [(r, str(value[c] if value[c] is not None else "")) for r, c in layout.turns]
+    if not layout.items:
+        said = [(r, value[c]) for r, c in layout.turns]
+    elif all(isinstance(m, dict) for m in value[layout.items]):
+        said = [(m.get(layout.role), m.get(layout.text)) for m in value[layout.items]]
+    else:
+        return []
+    if not all(x is None or isinstance(x, str) for turn in said for x in turn):
+        return []
+    return [(ROLES.get(r or "", r or ""), x or "") for r, x in said]
 
 
 def json_turns(df: DataFrame, record: str = "record", id_col: str = "conv_id") -> DataFrame:

@@ -295,6 +295,19 @@ def test_chat(spark):
     js = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(recs)] + [(9, "{"), (10, None)], "conv_id long, record string")
     got = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat_format.json_turns(js).collect())
     assert got == [(0, 0, "user", "p"), (0, 1, "assistant", "c"), (1, 0, "user", "u"), (1, 1, "assistant", "a"), (2, 0, "user", "h"), (3, 0, "user", "i"), (3, 1, "user", "x"), (3, 2, "assistant", "o")]
+    bad = [{"messages": [{"role": "user", "content": "x"}, 5]}, {"messages": [{"role": ["u"], "content": "x"}]}, {"prompt": "p", "completion": {"a": 1}}, {"messages": {"role": "user", "content": "x"}}, {"messages": []}, [1], 7]
+    assert all(chat_format.record_turns(json.dumps(r)) == [] for r in bad)
+    assert chat_format.record_turns('{"prompt": "p", "completion": null}') == [("user", "p"), ("assistant", "")]
+
+
+def test_chat_odd_rows(spark):
+    """Null texts, roles and ids, repeated rows, a long text, an empty table."""
+    rows = [(1, 0, "user", None), (1, 1, None, "x"), (None, 0, "user", "of no one"), (2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (3, None, "assistant", "</s>" * 50_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chat(chat_format.canonical_turns(df.withColumn("formatted", F.lit("clash"))))).collect()}
+    assert {k: (r.n_turns, r.loss_chars) for k, r in out.items()} == {1: (2, 0), None: (1, 0), 2: (2, 2), 3: (1, 200_000)}
+    assert out[1].turns_sha256 == hashlib.sha256(b"user\n\n\nx\n").hexdigest()
+    assert chat_format.read_back(chat_format.format_chat(chat_format.canonical_turns(df.limit(0)))).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -362,6 +375,58 @@ def test_language_id(spark, docs, none):
     assert {got[i].lang_pred for i in (900, 901, 902)} == {"und"}
     assert language_id.identify(none).count() == 0
     assert {r.doc_id for r in language_id.identified_rows(df).collect()} == {i for i, *_ in rows}
+    odd = spark.createDataFrame([(910, "½ ² 12 ٣ _", "xx", 1), (911, "zug und " * 50_000, "xx", 1), (None, "que los", None, 1), (1, "que los una", "yy", 1), (1, "que los una", "yy", 1)], "doc_id long, text string, lang string, score int")
+    got = Counter((r.doc_id, r.lang_pred) for r in language_id.identify(df.withColumn("score", F.lit(1)).unionByName(odd)).collect())
+    assert got[910, "und"] == got[911, "xx"] == got[None, "yy"] == 1 and got[1, "yy"] == 3
+
+
+def test_language_sample(spark):
+    """Alike many of each language by smallest hash, however the table is ordered."""
+    rows = [(str(i), f"l{int(i > 2000) + int(i > 2950)}", i * 7919 % 100_003 << 20) for i in range(3000)] + [("same", "l0", 5)] * 400
+    df = spark.createDataFrame(rows, "text string, lang string, hash long").coalesce(1)
+    got = language_id.training_sample(df, "lang", 300).collect()
+    want = {k: {t for h, t in sorted({(h, t) for t, x, h in rows if x == k})[:100]} for k in ("l0", "l1", "l2")}
+    assert {k: {r.text for r in got if r.lang == k} for k in want} == want and len(got) == 249
+    assert language_id.training_sample(df.limit(0), "lang", 300).count() == 0
+
+
+def _dense_ftrl(rows, classes):
+    """The textbook update, one coordinate at a time."""
+    z, n = Counter(), Counter()
+
+    def weight(i, k):
+        l1, l2 = (0, 0) if i == language_id.FEATURES else (language_id.L1, language_id.L2)
+        if abs(z[i, k]) <= l1:
+            return 0.0
+        return -(z[i, k] - math.copysign(l1, z[i, k])) / ((language_id.BETA + math.sqrt(n[i, k])) / language_id.ALPHA + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(language_id.EPOCHS):
+        for r in order.permutation(len(rows)):
+            x = [*zip(rows[r][0].tolist(), rows[r][1].tolist()), (language_id.FEATURES, 1.0)]
+            w = {(i, k): weight(i, k) for i, _ in x for k in range(classes)}
+            e = [math.exp(sum(v * w[i, k] for i, v in x)) for k in range(classes)]
+            for i, v in x:
+                for k in range(classes):
+                    g = v * (e[k] / sum(e) - (k == rows[r][2]))
+                    z[i, k] += g - (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / language_id.ALPHA * w[i, k]
+                    n[i, k] += g * g
+    return weight
+
+
+def test_follow_the_regularised_leader():
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(30, 6, replace=False)), rng.normal(size=6), int(rng.integers(3))) for _ in range(25)]
+    w, b = language_id.ftrl(rows, 3)
+    weight = _dense_ftrl(rows, 3)
+    assert np.allclose(w[:30], [[weight(i, k) for k in range(3)] for i in range(30)])
+    assert np.allclose(b, [weight(language_id.FEATURES, k) for k in range(3)]) and not w[30:].any()
+    assert language_id.Model(["a", "b"], np.ones(language_id.FEATURES), np.zeros((language_id.FEATURES, 2)), np.zeros(2), 1.0).accepts("letters") is False
+
+
+@pytest.mark.parametrize("text", ["", "a", "abca", "Üß日本"])
+def test_ngrams_of_one_to_three_characters(text):
+    assert language_id.ngram_counts(text).sum() == sum(max(0, len(text) - n) for n in range(3))
 
 
 def test_embeddings(spark):
@@ -384,6 +449,47 @@ def test_embeddings(spark):
     assert embedding_dedup.near_classes(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_repeated_ids(spark):
+    """Links are those of a row's own vector; empty vectors, other sizes, ties and clashing columns."""
+    c = math.cos(0.15)
+    s = math.sin(0.15)
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [c, s], 0), (3, [c, -s], 0), (4, [s, c], 0), (4, [s, c], 0), (5, [], 0), (6, [2.0, 0.0, 0.0], 0), (7, [1.0, 0.0, 0.0], 0), (8, [1.0, 0.0], 1), (None, [1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("kept", F.lit("x")).withColumn("cell", F.lit(1))
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_classes(df).collect())
+    assert got == Counter([(1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 1, 1), (4, 2, 1), (4, 2, 1), (5, 0, 5), (6, 1, 6), (7, 1, 6), (8, 0, 8), (None, 0, None)])
+
+
+def test_multi_sequence_order():
+    rng = random.Random(1)
+    for _ in range(20):
+        p, q = (sorted(rng.choice([0, 1, 2, rng.random() * 3]) for _ in range(rng.randrange(1, 9))) for _ in range(2))
+        got = [p[i] + q[j] for i, j in embedding_dedup.multi_sequence(p, q, 2.5)]
+        assert got == sorted(a + b for a in p for b in q if a + b <= 2.5)
+
+
+def test_embedding_recall_and_pairs_compared(spark):
+    """At the threshold itself at least RECALL of the pairs are found; the pairs compared grow far below the square."""
+    def table(n):
+        rng = np.random.default_rng(n)
+        x = rng.normal(size=(n, 32))
+        u = rng.normal(size=(n // 4, 32))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        u -= (u * x[: n // 4]).sum(1)[:, None] * x[: n // 4]
+        return np.concatenate((x, 0.981 * x[: n // 4] + math.sqrt(1 - 0.981**2) * u / np.linalg.norm(u, axis=1)[:, None]))
+
+    def compared(x):
+        grid = embedding_dedup.Grid(x, max(4, math.ceil(math.sqrt(len(x) / embedding_dedup.CELL))))
+        own, row, cell = embedding_dedup.visits(x, grid)
+        return np.bincount(own, minlength=cell.max() + 1)[cell].sum()
+
+    x = table(1600)
+    got = embedding_dedup.near_classes(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    true = (x @ x.T >= 0.98).sum(1) - 1
+    assert (got <= true).all() and got.sum() >= 0.99 * true.sum() > 700
+    small, large = compared(x), compared(table(12_800))
+    assert small < 0.5 * len(x) ** 2 and large < 24 * small  # 64 times the pairs
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
