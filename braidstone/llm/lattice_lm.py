@@ -1,18 +1,21 @@
 """Language-model scoring: marginal likelihood over all segmentations into pieces of an existing vocabulary.
 
-A word, behind the mark of a word's start, is a lattice of the vocabulary's pieces; the forward recursion in log space
-sums over all its segmentations. The vocabulary's scores are ranks; Zipf's law turns them into first probabilities,
-which one expectation step over the training words (forward and backward, weighted by their counts) adapts to the
-corpus. Characters no piece covers are spelled in the vocabulary's bytes. A word of the training texts is an edge of its
-own from its start to its end, with the weight its count has beside an escape to the pieces (Witten and Bell). All
-this and the end of a text make one distribution, so a text's probability is the product over its words and the end.
+A word, behind the mark of a word's start, is a lattice of the vocabulary's pieces, weighted by the vocabulary's scores;
+the forward recursion in log space sums over all its segmentations. The scores of the vocabulary at hand are ranks of
+merges, no log probabilities, so Zipf's law turns them into some: a piece of score -r has a weight of 1 / (SHIFT + r).
+Characters no piece covers are spelled in the vocabulary's bytes, which have no score of their own and the weight of
+the last rank. The end of a text is the vocabulary's end piece.
+
+What the corpus teaches are its words: a word of the training texts is one more edge of its lattice from its start to
+its end, with the weight its count has beside an escape to the pieces (Witten and Bell). All this and the end make one
+distribution, so a text's probability is the product over its words and the end.
 
 Word counts come from the whole corpus. Words that hold 1 / HOT of the training tokens or more, HOT of them at most,
 are looked up in a broadcast table; the others meet their counts in a shuffle, where no key can be hot.
 
 Defined cases: a null or blank text is its end alone. Rows without an id are scored and taken as training rows (their
-remainder is not 2). Repeated rows each get a result and each count in training. An empty table gives an empty result.
-Extra columns are not carried.
+remainder is not 2). Repeated rows each get a result and each count in training. A long word is walked in windows of
+its characters, a long text is one of many words. An empty table gives an empty result. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -28,11 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidstone.functions.staging import stage
+from braidstone.llm.common import frugal
 
 HOT = 200_000
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 300_000
-ZIPF_SHIFT, SMOOTH = 10, 0.01
+ZIPF_SHIFT = 10
+#: Characters of a word whose pieces are looked up at once.
+STRETCH = 16_384
 MARK = "▁"
 
 
@@ -46,7 +52,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 class Lattice:
-    """Pieces of a vocabulary as 64-bit keys of their characters, with first log probabilities."""
+    """Pieces of a vocabulary as 64-bit keys of their characters, with log probabilities from its scores."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -54,17 +60,20 @@ class Lattice:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         kept = [i for i, p in enumerate(self.pieces) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
-        self.byte = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        self.byte, self.end = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]), sp.eos_id()
         self.longest = max(len(self.pieces[i]) for i in kept)
         keys = np.array([self.key(np.array([[ord(c) for c in self.pieces[i]]], np.uint64))[0] for i in kept], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(kept)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a key")
-        rank = np.arange(len(self.pieces), dtype=float)
-        p = np.where(np.isin(rank, np.concatenate((kept, self.byte))), 1 / (ZIPF_SHIFT + rank), 0.0)
+        score = np.array([sp.get_score(i) for i in range(len(self.pieces))], float)
+        weight = np.zeros(len(score))
+        weight[[*kept, self.end]] = 1 / (ZIPF_SHIFT - score[[*kept, self.end]])
+        weight[self.byte] = weight[kept].min()
         with np.errstate(divide="ignore"):
-            self.first = np.log(p / p.sum())
+            self.logp = np.log(weight / weight.sum())
+        self.key_logp = self.logp[self.ids]
 
     @staticmethod
     def key(c: np.ndarray) -> np.ndarray:
@@ -79,65 +88,35 @@ class Lattice:
         h = (h + c + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         return h ^ (h >> np.uint64(29))
 
-    def edges(self, c: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(from, to, rows, piece) over rows of code points of one length; characters without a piece are left out."""
-        out, n = [], c.shape[1]
-        for s in range(n):
-            h = np.zeros(len(c), np.uint64)
-            for e in range(s + 1, min(n, s + self.longest) + 1):
-                h = self.extend(h, c[:, e - 1])
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                rows = np.flatnonzero(self.keys[at] == h)
-                if len(rows):
-                    out.append((s, e, rows, self.ids[at[rows]]))
-        return out
-
-    def spelled(self, c: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(position, rows, bytes, how many) of the characters without a piece, spelled in UTF-8, zero-filled."""
-        out = []
-        for s in range(c.shape[1]):
-            h = self.extend(np.zeros(len(c), np.uint64), c[:, s])
+    def edges(self, c: np.ndarray, starts: int) -> list[np.ndarray]:
+        """By length less one: log probabilities of the edges from each row's first ``starts`` places; -inf where there is none."""
+        out, h = [], np.zeros((len(c), starts), np.uint64)
+        for size in range(1, min(self.longest, c.shape[1]) + 1):
+            n = min(starts, c.shape[1] - size + 1)
+            h = self.extend(h[:, :n], c[:, size - 1 : size - 1 + n])
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            rows = np.flatnonzero(self.keys[at] != h)
-            if len(rows):
-                coded = [chr(x).encode("utf-8", "surrogatepass") for x in c[rows, s].tolist()]
-                out.append((s, rows, np.array([list(b.ljust(4, b"\0")) for b in coded]), np.array([len(b) for b in coded])))
+            lp = np.where(self.keys[at] == h, self.key_logp[at], -np.inf)
+            if size == 1:
+                for i, j in np.argwhere(np.isneginf(lp)):  # no piece: spelled in bytes
+                    lp[i, j] = self.logp[self.byte[list(chr(int(c[i, j])).encode("utf-8", "surrogatepass"))]].sum()
+            out.append(lp)
         return out
 
-    def run(self, c: np.ndarray, logp: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log likelihood of each row; with ``weight`` also the expected counts of the pieces."""
-        n, w = c.shape[1], len(c)
-        arcs = []
-        for s, e, rows, piece in self.edges(c):
-            arcs.append((s, e, rows, logp[piece], piece))
-        spelled = []
-        for s, rows, coded, k in self.spelled(c):
-            ids = self.byte[coded]
-            lp = np.where(np.arange(4)[None] < k[:, None], logp[ids], 0).sum(1)
-            arcs.append((s, s + 1, rows, lp, None))
-            spelled.append((len(arcs) - 1, ids, k))
-        alpha = np.full((n + 1, w), -np.inf)
+    def likelihood(self, c: np.ndarray) -> np.ndarray:
+        """Log of the sum over all segmentations, for rows of code points of one length."""
+        n = c.shape[1]
+        alpha = np.full((n + 1, len(c)), -np.inf)
         alpha[0] = 0
-        for i in sorted(range(len(arcs)), key=lambda i: arcs[i][1]):
-            s, e, rows, lp, _ = arcs[i]
-            alpha[e, rows] = np.logaddexp(alpha[e, rows], alpha[s, rows] + lp)
-        if weight is None:
-            return alpha[n], None
-        beta = np.full((n + 1, w), -np.inf)
-        beta[n] = 0
-        for i in sorted(range(len(arcs)), key=lambda i: -arcs[i][0]):
-            s, e, rows, lp, _ = arcs[i]
-            beta[s, rows] = np.logaddexp(beta[s, rows], beta[e, rows] + lp)
-        total = np.zeros(len(self.pieces))
-        post = [np.exp(alpha[s, rows] + lp + beta[e, rows] - alpha[n, rows]) * weight[rows] for s, e, rows, lp, _ in arcs]
-        for x, (_, _, _, _, piece) in zip(post, arcs, strict=True):
-            if piece is not None:
-                total += np.bincount(piece, x, len(total))
-        for i, ids, k in spelled:
-            for j in range(4):
-                live = k > j
-                total += np.bincount(ids[live, j], post[i][live], len(total))
-        return alpha[n], total
+        for start in range(0, n, STRETCH):
+            starts = min(STRETCH, n - start)
+            for size, lp in enumerate(edges := self.edges(c[:, start : start + starts + self.longest - 1], starts)):
+                edges[size] = lp.T.copy()
+            for s in range(starts):
+                for size, lp in enumerate(edges, 1):
+                    if s < len(lp):
+                        to = alpha[start + s + size]
+                        np.logaddexp(to, alpha[start + s] + lp[s], out=to)
+        return alpha[n]
 
     def by_length(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(positions, code points) of marked words of one length at a time, in blocks of bounded size."""
@@ -162,6 +141,7 @@ def _text(word: bytes) -> str:
 _COUNTS = "word binary, c long"
 
 
+@frugal
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of training words; held-out words with 0, so that all words are in the table."""
     seen: Counter = Counter()
@@ -183,28 +163,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _expect(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattice(path)
-        total = np.zeros(len(lat.pieces))
-        for b in batches:
-            texts, c = [_text(w) for w in b.column(0).to_pylist()], b.column(1).to_numpy().astype(float)
-            for at, codes in lat.by_length(texts):
-                total += lat.run(codes, lat.first, c[at])[1]
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["piece", "n"])
-
-    return run
-
-
-def _likelihood(path: str, logp, total: int, distinct: int):
+def _likelihood(path: str, total: int, distinct: int):
     room = total + distinct + 1
+
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(path)
         for b in batches:
             texts, out = [_text(w) for w in b.column(0).to_pylist()], np.zeros(b.num_rows)
             for at, codes in lat.by_length(texts):
-                out[at] = lat.run(codes, logp.value)[0]
+                out[at] = lat.likelihood(codes)
             with np.errstate(divide="ignore"):
                 out = np.logaddexp(out + math.log((distinct + 1) / room), np.log(b.column(1).to_numpy() / room))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out / math.log(10))], ["word", "c", "lp"])
@@ -220,6 +188,7 @@ _TOKENS_SQL = "doc_id long, h long, word binary, tf int, own struct<n_tokens:lon
 def _look_up(hot, end: tuple[int, float, float], log_total: float):
     """Per text one row of what its frequent words and its end add up to, and one row for each other word."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -236,7 +205,7 @@ def _look_up(hot, end: tuple[int, float, float], log_total: float):
                     at = np.fromiter(map(place.get, w, [0] * len(w)), np.int64, len(w))
                     hs.append(xxhash.xxh3_64_intdigest(text.encode() if text else b"") - (1 << 63))
                     row.append(i)
-                    word.append(b" %d" % i)  # not a word: it has a blank
+                    word.append(b" %x %d" % (hs[-1] & 0xFFFFFFFF, start + i))  # no word, as it has a blank; nearly each its own key
                     tf.append(0)
                     own.append((len(w) + 1, int(known[at].sum()) + (end[0] > 0), float(base[at].sum()) + end[1], float(lp[at].sum()) + end[2], aside))
                     rest = Counter([w[j] for j in np.flatnonzero(at == 0)])
@@ -261,17 +230,10 @@ def score(docs: DataFrame, vocabulary: str) -> DataFrame:
     total, distinct = seen[0] + ends, seen[1] + (ends > 0)
     log_total = math.log10(total + distinct + 1)
 
-    lat = lattice(vocabulary)
-    expected = counts.filter("c > 0").mapInArrow(_expect(vocabulary), "piece long, n double").groupBy("piece").agg(F.sum("n")).collect()  # the vocabulary's size at most
-    n = np.where(np.isfinite(lat.first), SMOOTH, 0.0)
-    for piece, x in expected:
-        n[piece] += x
-    whole = n.sum() + ends + SMOOTH
-    with np.errstate(divide="ignore"):
-        logp = spark.sparkContext.broadcast(np.log(n / whole))
-    end_lp = math.log10((ends + (distinct + 1) * (ends + SMOOTH) / whole) / (total + distinct + 1))
-
-    table = stage(counts.mapInArrow(_likelihood(vocabulary, logp, total, distinct), "word binary, c long, lp double"), "word-likelihoods")
+    escaped = math.exp(lattice(vocabulary).logp[lattice(vocabulary).end])
+    end_lp = math.log10((ends + (distinct + 1) * escaped) / (total + distinct + 1))
+
+    table = stage(counts.mapInArrow(_likelihood(vocabulary, total, distinct), "word binary, c long, lp double"), "word-likelihoods")
     hot = F.col("c") * HOT >= F.lit(max(total, HOT))
     top = table.filter(hot).toArrow()  # HOT words at most
     sent = spark.sparkContext.broadcast((top.column("word").to_pylist(), top.column("c").to_numpy(), top.column("lp").to_numpy()))

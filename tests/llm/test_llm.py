@@ -325,27 +325,49 @@ def test_edits(seed):
         assert tree.text() == text and tree.total == len(tk.encode(text).ids)
 
 
-def test_lattice_sums_over_all_segmentations():
+def _segmentations(w):
+    """The sum over all segmentations of a word, one after another, from the vocabulary's scores alone."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    plain = {sp.id_to_piece(i): 1 / (lattice_lm.ZIPF_SHIFT - sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))}
+    byte, end = min(plain.values()), 1 / (lattice_lm.ZIPF_SHIFT - sp.get_score(sp.eos_id()))
+    whole = sum(plain.values()) + 256 * byte + end
+
+    def paths(rest):
+        if not rest:
+            yield 1.0
+        for e in range(1, len(rest) + 1):
+            if rest[:e] in plain:
+                yield from (plain[rest[:e]] / whole * x for x in paths(rest[e:]))
+            elif e == 1:
+                yield from ((byte / whole) ** len(rest[:1].encode()) * x for x in paths(rest[1:]))
+
+    return end / whole if w is None else sum(paths("▁" + w))
+
+
+def test_lattice_sums_over_all_segmentations(monkeypatch):
     lat = lattice_lm.lattice(PIECES)
-    index = {p: i for i, p in enumerate(lat.pieces)}
-
-    def total(w):
-        z = [1.0] + [0.0] * len(w)
-        for e in range(1, len(w) + 1):
-            for s in range(e):
-                i = index.get(w[s:e])
-                if i is not None and np.isfinite(lat.first[i]):
-                    z[e] += z[s] * math.exp(lat.first[i])
-                elif e - s == 1:
-                    z[e] += z[s] * math.exp(sum(lat.first[lat.byte[b]] for b in w[s:e].encode()))
-        return math.log(z[-1])
-
-    words = ["the", "theory", "日x", "a", "über"]
-    for at, codes in lat.by_length(words):
-        ll, counts = lat.run(codes, lat.first, np.ones(len(codes)))
-        assert counts.sum() > 0
-        for i, x in zip(at, ll):
-            assert x == pytest.approx(total("▁" + words[i]))
+    assert math.exp(lat.logp[lat.end]) == pytest.approx(_segmentations(None)) and np.exp(lat.logp).sum() == pytest.approx(1)
+    words = ["the", "theory", "日x", "a", "über", "", "🎉é", "straightly"]
+    for stretch in (lattice_lm.STRETCH, 3):
+        monkeypatch.setattr(lattice_lm, "STRETCH", stretch)
+        for at, codes in lat.by_length(words):
+            for i, x in zip(at, lat.likelihood(codes)):
+                assert x == pytest.approx(math.log(_segmentations(words[i])))
+
+
+def test_scores_are_products_of_sums(spark):
+    """A text's score from its words' segmentations and counts, by hand; clashing columns, null and repeated ids."""
+    texts = [(1, "the theory of a"), (1, "the theory of a"), (2, "über the"), (None, "the 日x"), (16, "A theory, unseen"), (16, None)]
+    texts += [(i, "of the") for i in range(20, 30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("word", F.lit(1))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    counts, ends = Counter(w for i, t in texts if not held(i) for w in (t or "").lower().split()), sum(not held(i) for i, _ in texts)
+    n, v = counts.total() + ends, len(counts) + 1
+    p = lambda c, sums: (c + (v + 1) * sums) / (n + v + 1)
+    want = Counter((i, round(math.log10(p(ends, _segmentations(None))) + sum(math.log10(p(counts[w], _segmentations(w))) for w in (t or "").lower().split()), 6)) for i, t in texts)
+    assert Counter((r.doc_id, round(r.score, 6)) for r in lattice_lm.score(df, PIECES).collect()) == want
 
 
 def test_language_model(docs, none):
