@@ -13,10 +13,11 @@ empty table gives an empty result. Extra columns are not carried.
 
 from __future__ import annotations
 
-import base64
 import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidstone.functions.staging import stage
+from braidstone.functions.staging import BROADCAST_ROWS, stage
 from braidstone.llm.common import frugal
 
 WINDOW, END_ID = 2048, 1
@@ -32,6 +33,8 @@ WINDOW, END_ID = 2048, 1
 SALTS = 256
 #: Of a worker's memory for chunk ids; a full cache is emptied, which changes no result.
 CACHE_CHUNKS = 250_000
+#: Texts held as Python strings at once.
+BATCH = 1000
 
 
 class ChunkIds(dict):
@@ -62,7 +65,8 @@ class ChunkIds(dict):
         self.added = {a["content"]: a["id"] for a in held["added_tokens"] if not (literal and a["special"])}
         self._split = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})").split
         self._plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.kind = "<u2" if max(*ranks.values(), *self.added.values()) < 65536 else "<u4"
+        self._code, self._native = "H" if max(*ranks.values(), *self.added.values()) < 65536 else "I", sys.byteorder == "little"
+        self.kind = "<u2" if self._code == "H" else "<u4"
 
     def marked(self, text: str) -> bool:
         return any(c in text for c in self.added)
@@ -73,7 +77,8 @@ class ChunkIds(dict):
         return [i for part in self._split(text) if part for i in ([self.added[part]] if part in self.added else self._plain(part))]
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.encode(part if part[:1] == "\n" else f" {part}"), self.kind).tobytes()
+        ids = self._plain(part if part[0] == "\n" else f" {part}")  # ``cut`` leaves no added token in a part
+        ids = array(self._code, ids).tobytes() if self._native else np.array(ids, self.kind).tobytes()
         if len(self) >= CACHE_CHUNKS:
             self.clear()
         self[part] = ids
@@ -121,7 +126,7 @@ def _pieces(path: str, window: int, end_id: int, schema: pa.Schema, literal: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = chunk_ids(path, literal)
         end = np.array([end_id], known.kind)
-        for batch in batches:
+        for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
             row, start, length, crc, total, held = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.concatenate([known.ids(text), end]) if text else end
@@ -266,7 +271,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     The texts are tokenised once; remainders are stored with their ids, so that one that is cut gets its checksums
-    without a second pass. Ranks within a length come from counts per (length, salt); the plan, a few thousand
+    without a second pass; the ids of the others are not moved while the cut ones are few enough to broadcast. Ranks within a length come from counts per (length, salt); the plan, a few thousand
     intervals at most, is broadcast. ``literal``: a special token's content in a text is plain text; the queries take
     it as the token, as the library does by default.
     """
@@ -292,7 +297,9 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     spans = F.broadcast(spark.createDataFrame(cuts, "cut_length long, a long, b long"))
     is_cut = (F.col("length") == F.col("cut_length")) & (F.col("rank") >= F.col("a")) & (F.col("rank") < F.col("b"))
     whole, torn = ranked.join(spans, is_cut, "left_anti"), ranked.join(spans, is_cut, "left_semi")
-    with_ids = pieces.filter(F.col("ids").isNotNull()).select(*(F.col(k).alias(f"of_{k}") for k in keys), "ids", "kind").dropDuplicates([f"of_{k}" for k in keys])
+    torn = stage(torn, "torn")
+    few = F.broadcast(torn.select(*(F.col(k).alias(f"of_{k}") for k in keys)).distinct()) if torn.count() <= BROADCAST_ROWS else torn.select(*(F.col(k).alias(f"of_{k}") for k in keys)).distinct()
+    with_ids = pieces.filter(F.col("ids").isNotNull()).join(few, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]).select(*(f"of_{k}" for k in keys), "ids", "kind").dropDuplicates([f"of_{k}" for k in keys])
     torn = torn.join(with_ids, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]).select(*keys, "doc_tokens", "rank", "ids", "kind")
     return whole.mapInArrow(_placed(sent, placed), _PLACED).unionByName(torn.mapInArrow(_placed(sent, placed), _PLACED))
 
