@@ -19,9 +19,14 @@ are estimated from a sample of the documents, which decides cost only. A documen
 those, then also lanes of a finer split, and if those are d or fewer too, the lanes of its whole set, each kind kept
 apart: of two such documents, both emit the next kind.
 
+Links are counted in the end: two sets that link are in one class, so the sets of each class are compared with each
+other, in blocks of bounded size, each pair of blocks once. Intersections are counted by matrix products over shingles
+that many sets of the blocks hold and by an index over the others. Nothing but a number for each set leaves a block.
+
 Defined cases: a null or blank text has the empty set and links with nothing. Fewer than five words make one shingle.
-Rows that repeat a doc_id are one document if their sets are equal, else each set links on its own. Empty tables give
-empty results. Extra columns are not carried. doc_id must not be null in a linked row (null ids are left alone).
+Each row is a document of its own and links on its own, also rows that repeat a doc_id; component_id is an id, so such
+rows may share one. Ties do not occur: components and counts have one value. Empty tables give empty results. Long
+texts are one set. Extra columns are not carried. Rows with a null doc_id are left alone.
 """
 
 from __future__ import annotations
@@ -37,8 +42,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidstone.functions.staging import BROADCAST_ROWS, stage
-from braidstone.llm.common import components, frugal
+from braidstone.functions.staging import sized, stage
+from braidstone.llm.common import attach, components, frugal
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: Sizes in one band differ by this factor at most.
@@ -187,8 +192,8 @@ def _set_id(s: np.ndarray) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
 
 
-_ROWS = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()), ("keys", pa.binary()), ("ids", pa.binary())])
-_ROWS_SQL = "bucket int, doc_id long, n long, s1 long, s2 long, sketch binary, keys binary, ids binary"
+_ROWS = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()), ("keys", pa.binary()), ("ids", pa.binary())])
+_ROWS_SQL = "bucket int, doc_id long, tag long, n long, s1 long, s2 long, sketch binary, keys binary, ids binary"
 
 
 def _emit(words: int, bands: Bands, buckets: int, common):
@@ -204,12 +209,12 @@ def _emit(words: int, bands: Bands, buckets: int, common):
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                ids, texts, tags = (part.column(i).to_pylist() for i in range(3))
                 rows, keys, owners = [], [], []
-                for doc_id, text in zip(ids, texts, strict=True):
+                for doc_id, text, tag in zip(ids, texts, tags, strict=True):
                     s = shingles(text, words)
                     s1, s2 = _set_id(s)
-                    rows.append((doc_id, len(s), s1, s2, bit_sketch(s)))
+                    rows.append((doc_id, tag, len(s), s1, s2, bit_sketch(s)))
                     if not len(s) or doc_id is None or (s1, s2) in seen:
                         continue
                     if len(seen) < 2_000_000:
@@ -220,9 +225,9 @@ def _emit(words: int, bands: Bands, buckets: int, common):
                     owners.append(np.full(len(k), s1, np.int64))
                 m = len(rows)
                 cols = list(zip(*rows, strict=True))
-                spread = pa.array((np.array(cols[2], np.int64) % buckets).astype(np.int32))
+                spread = pa.array((np.array(cols[3], np.int64) % buckets).astype(np.int32))
                 none = pa.nulls(m, pa.binary())
-                yield pa.record_batch([spread, *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()), none, none], schema=_ROWS)
+                yield pa.record_batch([spread, *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary()), none, none], schema=_ROWS)
                 if not keys or not (total := sum(map(len, keys))):
                     continue
                 k, o = np.concatenate(keys), np.concatenate(owners)
@@ -232,64 +237,104 @@ def _emit(words: int, bands: Bands, buckets: int, common):
                 first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
                 last = np.append(first[1:], total)
                 none = pa.nulls(len(first), pa.int64())
-                yield pa.record_batch([pa.array(b[first]), none, none, none, none, pa.nulls(len(first), pa.binary()), pa.array([k[x:y].tobytes() for x, y in zip(first, last, strict=True)], pa.binary()), pa.array([o[x:y].tobytes() for x, y in zip(first, last, strict=True)], pa.binary())], schema=_ROWS)
+                yield pa.record_batch([pa.array(b[first]), none, none, none, none, none, pa.nulls(len(first), pa.binary()), pa.array([k[x:y].tobytes() for x, y in zip(first, last, strict=True)], pa.binary()), pa.array([o[x:y].tobytes() for x, y in zip(first, last, strict=True)], pa.binary())], schema=_ROWS)
 
     return run
 
 
-_MET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()), ("g1", pa.int64()), ("g2", pa.int64()), ("part", pa.int32()), ("members", pa.list_(pa.int64()))])
-_MET_SQL = "doc_id long, n long, s1 long, s2 long, sketch binary, g1 long, g2 long, part int, members array<long>"
-#: Members of one stored group row; a larger group becomes rows that overlap in their first member.
+_MET = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()), ("g1", pa.int64()), ("g2", pa.int64()), ("part", pa.int32()), ("members", pa.list_(pa.int64()))])
+_MET_SQL = "doc_id long, tag long, n long, s1 long, s2 long, sketch binary, g1 long, g2 long, part int, members array<long>"
+#: Members of one stored group row; a larger group becomes several rows.
 GROUP_ROW = 4096
+#: Buckets of a shuffle partition, and the keys of one that a task holds before it lets those of large groups go.
+BUCKETS, HELD = 64, 1_000_000
+
+
+class _Bucket:
+    """The keys of one bucket and the sets that have them, until the groups of sets with a key in common are told.
+
+    Of a bucket with more than HELD keys those that GROUP_ROW sets or more have are told as they come, row by row
+    under the key itself, so that a group's size bounds nothing here.
+    """
+
+    def __init__(self):
+        self.keys, self.owners, self.held, self.told, self.part = [], [], 0, np.zeros(0, np.uint64), 0
+
+    def add(self, keys: bytes, owners: bytes) -> Iterator[tuple]:
+        self.keys.append(np.frombuffer(keys, np.uint64))
+        self.owners.append(np.frombuffer(owners, np.int64))
+        self.held += len(self.keys[-1])
+        if self.held > HELD:
+            k, o = self._sorted()
+            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            size = np.diff(np.append(first, len(k)))
+            large = (size >= GROUP_ROW) | np.isin(k[first], self.told)
+            yield from self._tell(k, o, first[large], size[large])
+            self.told = np.union1d(self.told, k[first[large]])
+            rest = np.repeat(~large, size)
+            self.keys, self.owners, self.held = [k[rest]], [o[rest]], int(rest.sum()) // 2  # half as many more may come before the next time
+
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        k, o = np.concatenate(self.keys), np.concatenate(self.owners)
+        order = np.lexsort((o, k))
+        k, o = k[order], o[order]
+        fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])))  # copies in several partitions
+        return k[fresh], o[fresh]
+
+    def _tell(self, k: np.ndarray, o: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple]:
+        for i, n in zip(first.tolist(), size.tolist(), strict=True):
+            for x in range(i, i + n, GROUP_ROW):
+                self.part += 1
+                yield k[i].astype(np.int64), _mix(k[i : i + 1] + _MULT)[0].astype(np.int64), self.part, o[x : min(x + GROUP_ROW, i + n)]
+
+    def groups(self) -> Iterator[tuple]:
+        """(g1, g2, part, members) of what is left; of equal groups under several keys one."""
+        if not self.keys:
+            return
+        k, o = self._sorted()
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(first, len(k)))
+        old = np.isin(k[first], self.told)
+        yield from self._tell(k, o, first[old], size[old])
+        some = (size > 1) & ~old
+        first, size = first[some], size[some]
+        if not len(first):
+            return
+        start = np.repeat(np.cumsum(size) - size, size)
+        member = o[np.repeat(first, size) + np.arange(size.sum()) - start]
+        at = np.cumsum(size) - size
+        h = _mix(member.view(np.uint64))
+        g1, g2 = np.add.reduceat(h, at), np.bitwise_xor.reduceat(_mix(h + _MULT), at)
+        _, once = np.unique(np.stack((g1, g2), 1), axis=0, return_index=True)
+        for i in once:
+            for x in range(0, size[i], GROUP_ROW):
+                yield g1[i].astype(np.int64), g2[i].astype(np.int64), -1 - x, member[at[i] + x : at[i] + min(x + GROUP_ROW, size[i])]
 
 
 @frugal
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition of buckets: document rows as they are, and the distinct groups of sets that share a key."""
-    keys, owners = [], []
+    """Of a partition sorted by bucket: document rows as they are, and the groups of sets that share a key."""
+    at, bucket, out = None, _Bucket(), []
+
+    def ready(more: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for row in more:
+            out.append(row)
+            if len(out) >= 2000 or len(row[3]) == GROUP_ROW:
+                yield _groups(out)
+                out.clear()
+
     for b in batches:
         docs = b.filter(pa.compute.is_null(b.column("keys")))
         if docs.num_rows:
             none = pa.nulls(docs.num_rows, pa.int64())
-            yield pa.record_batch([*(docs.column(c) for c in ("doc_id", "n", "s1", "s2", "sketch")), none, none, pa.nulls(docs.num_rows, pa.int32()), pa.nulls(docs.num_rows, pa.list_(pa.int64()))], schema=_MET)
+            yield pa.record_batch([*(docs.column(c) for c in ("doc_id", "tag", "n", "s1", "s2", "sketch")), none, none, pa.nulls(docs.num_rows, pa.int32()), pa.nulls(docs.num_rows, pa.list_(pa.int64()))], schema=_MET)
         blocks = b.filter(pa.compute.is_valid(b.column("keys")))
-        keys += [np.frombuffer(x, np.uint64) for x in blocks.column("keys").to_pylist()]
-        owners += [np.frombuffer(x, np.int64) for x in blocks.column("ids").to_pylist()]
-    if not keys:
-        return
-    k, o = np.concatenate(keys), np.concatenate(owners)
-    keys.clear()
-    owners.clear()
-    order = np.argsort(k)
-    k, o = k[order], o[order]
-    again = np.concatenate(([False], k[1:] == k[:-1]))
-    shared = again | np.append(again[1:], False)
-    k, o = k[shared], o[shared]
-    if not len(k):
-        return
-    order = np.lexsort((o, k))
-    k, o = k[order], o[order]
-    fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])))  # copies in several partitions
-    k, o = k[fresh], o[fresh]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    size = np.diff(np.append(first, len(k)))
-    first, size = first[size > 1], size[size > 1]
-    if not len(first):
-        return
-    start = np.repeat(np.cumsum(size) - size, size)
-    member = o[np.repeat(first, size) + np.arange(size.sum()) - start]
-    at = np.cumsum(size) - size
-    h = _mix(member.view(np.uint64))
-    g1, g2 = np.add.reduceat(h, at), np.bitwise_xor.reduceat(_mix(h + _MULT), at)
-    _, once = np.unique(np.stack((g1, g2), 1), axis=0, return_index=True)
-    out: list[tuple] = []
-    for i in once:
-        ids = member[at[i] : at[i] + size[i]]
-        for x in range(1, len(ids), GROUP_ROW - 1):
-            out.append((g1[i].astype(np.int64), g2[i].astype(np.int64), x, np.append(ids[0], ids[x : x + GROUP_ROW - 1])))
-        if len(out) >= 2000:
-            yield _groups(out)
-            out = []
+        for name, keys, owners in zip(blocks.column("bucket").to_pylist(), blocks.column("keys").to_pylist(), blocks.column("ids").to_pylist(), strict=True):
+            if name != at:
+                yield from ready(bucket.groups())
+                at, bucket = name, _Bucket()
+            yield from ready(bucket.add(keys, owners))
+    yield from ready(bucket.groups())
     if out:
         yield _groups(out)
 
@@ -298,7 +343,7 @@ def _groups(rows: list[tuple]) -> pa.RecordBatch:
     m = len(rows)
     none = pa.nulls(m, pa.int64())
     cols = list(zip(*rows, strict=True))
-    return pa.record_batch([none, none, none, none, pa.nulls(m, pa.binary()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int64()))], schema=_MET)
+    return pa.record_batch([none, none, none, none, none, pa.nulls(m, pa.binary()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int64()))], schema=_MET)
 
 
 def _common(rows: DataFrame, words: int) -> np.ndarray:
@@ -363,18 +408,17 @@ def _verified(threshold: Fraction):
     return run
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, threshold: Fraction) -> DataFrame:
-    """The pairs ``(a, b)`` of set ids that meet the threshold, verified on the sets of their smallest documents."""
+def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """The pairs ``(a, b)`` of set ids that meet the threshold, and the sets ``(s, tokens)`` they were verified on."""
     of = lambda x: nodes.select(F.col("s1").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
     likely = stage(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_near_enough(threshold), "a long, b long"), "likely")
     ends = likely.select(F.col("a").alias("s1")).union(likely.select(F.col("b").alias("s1"))).distinct()
-    wanted = stage(nodes.join(ends, "s1", "left_semi").select(F.col("doc_id").alias("rep")), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("rep"), "left_semi").select("text")
+    wanted = stage(nodes.join(ends, "s1", "left_semi").select(F.col("doc_id").alias("rep"), F.col("tag").alias("rep_tag")), "wanted")
+    texts = rows.join(sized(wanted, wanted.count()), (F.col("doc_id") == F.col("rep")) & (F.col("tag") == F.col("rep_tag")), "left_semi").select("text")
     sets = stage(texts.mapInArrow(_set_rows(words), "s long, tokens binary"), "sets").dropDuplicates(["s"])
     one = likely.join(sets.select(F.col("s").alias("a"), F.col("tokens").alias("ta")), "a")
     two = one.join(sets.select(F.col("s").alias("b"), F.col("tokens").alias("tb")), "b")
-    return stage(two.select("a", "b", "ta", "tb").mapInArrow(_verified(threshold), "a long, b long"), "links")
+    return stage(two.select("a", "b", "ta", "tb").mapInArrow(_verified(threshold), "a long, b long"), "links"), sets
 
 
 #: Members and visitors that are compared at once.
@@ -425,24 +469,119 @@ def _left_over(mixed: DataFrame, nodes: DataFrame, key: list[str], threshold: Fr
     return small.unionByName(large)
 
 
-def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``."""
+#: Shingles of all sets of a block of a class; those that more sets of two blocks hold than this are counted by products.
+BLOCK_TOKENS, FREQUENT = 1_500_000, 32
+
+
+def count_links(x: list[np.ndarray], y: list[np.ndarray], mx: np.ndarray, my: np.ndarray, threshold: Fraction, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of ``x`` the weights ``my`` of the sets of ``y`` that meet the threshold added up, and the other way round.
+
+    ``same``: y is x, a set does not link with itself, and both results are one.
+    """
+    t, nx, ny = threshold, np.array([*map(len, x)]), np.array([*map(len, y)])
+    tokens, at = np.unique(np.concatenate((*x, *(() if same else y))), return_inverse=True)
+    ax, ay = at[: nx.sum()], at if same else at[nx.sum() :]
+    ry = np.repeat(np.arange(len(y)), ny)
+    held = np.bincount(ay, minlength=len(tokens))
+    frequent = held > FREQUENT
+    column = np.cumsum(frequent) - 1
+    order = np.argsort(ay, kind="stable")  # an index of y: the sets that hold a token
+    sets, first = ry[order], np.concatenate(([0], np.cumsum(held)))
+    of_x, of_y, ends = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), np.concatenate(([0], np.cumsum(nx)))
+    wide = ry[frequent[ay]], column[ay[frequent[ay]]]
+    for lo in range(0, len(x), 512):
+        hi = min(lo + 512, len(x))
+        part = ax[ends[lo] : ends[hi]]
+        row = np.repeat(np.arange(hi - lo), nx[lo:hi])
+        inter = np.zeros((hi - lo, len(y)), np.float32)
+        for c in range(0, int(frequent.sum()), 2048):
+            a, b = np.zeros((hi - lo, 2048), np.float32), np.zeros((len(y), 2048), np.float32)
+            own = frequent[part] & (column[part] >= c) & (column[part] < c + 2048)
+            a[row[own], column[part[own]] - c] = 1
+            if not own.any():
+                continue
+            there = (wide[1] >= c) & (wide[1] < c + 2048)
+            b[wide[0][there], wide[1][there] - c] = 1
+            inter += a @ b.T
+        rare = ~frequent[part]
+        times = held[part[rare]]
+        if times.sum():
+            start = np.repeat(first[part[rare]], times)
+            each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            np.add.at(inter, (np.repeat(row[rare], times), sets[start + each]), 1)
+        inter = inter.astype(np.int64)
+        linked = inter * (t.denominator + t.numerator) >= (nx[lo:hi, None] + ny[None]) * t.numerator
+        if same:
+            linked[np.arange(hi - lo), np.arange(lo, hi)] = False
+        of_x[lo:hi] = linked @ my
+        of_y += mx[lo:hi] @ linked
+    return of_x, of_y
+
+
+def _count_links(threshold: Fraction):
+    """Of rows ``(class, i, j, side, s, m, tokens)`` sorted by class, i, j and side: ``(s, links)``, one pair of blocks at a time."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if not held[0] or now[1] != now[2] and not held[1]:
+                return
+            (xs, xm, x), (ys, ym, y) = (zip(*h, strict=True) if h else ((), (), ()) for h in held)
+            xm, ym = np.array(xm, np.int64), np.array(ym, np.int64)
+            same = now[1] == now[2]
+            of_x, of_y = count_links(x, x if same else y, xm, xm if same else ym, threshold, same)
+            s, n = (np.array(xs), of_x) if same else (np.array([*xs, *ys]), np.concatenate((of_x, of_y)))
+            yield pa.record_batch([pa.array(s[n > 0], pa.int64()), pa.array(n[n > 0], pa.int64())], ["s", "links"])
+
+        for b in batches:
+            for *key, side, s, m, tokens in zip(*(b.column(i) for i in range(7)), strict=True):
+                key = tuple(k.as_py() for k in key)
+                if key != now:
+                    yield from done()
+                    now, held = key, ([], [])
+                held[side.as_py()].append((s.as_py(), m.as_py(), np.frombuffer(tokens.as_py(), np.uint64)))
+        yield from done()
+
+    return run
+
+
+def _link_counts(of_set: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """``(s, links)`` of the sets of ``of_set(s1, component, n, m)`` that link: how many documents with another set each links with."""
+    classes = of_set.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size")).filter("k > 1")
+    classes = classes.select("component", F.ceil(F.col("size") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    own = of_set.join(classes, "component").select(F.col("s1").alias("s"), "component", "m", "blocks", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int").alias("b"))
+    there = sets.join(own, "s")
+    left = there.withColumn("j", F.explode(F.sequence(F.col("b"), F.col("blocks") - 1))).select("component", F.col("b").alias("i"), "j", F.lit(0).alias("side"), "s", "m", "tokens")
+    right = there.filter("b > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select("component", "i", F.col("b").alias("j"), F.lit(1).alias("side"), "s", "m", "tokens")
+    pairs = left.unionByName(right).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side")
+    return pairs.mapInArrow(_count_links(threshold), "s long, links long").groupBy("s").agg(F.sum("links").alias("links"))
+
+
+def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, links: bool = True) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, n_links, class_id, text_hash)``, one row per row of ``docs``.
+
+    ``n_links``: other rows it links with (null if not ``links``). ``class_id`` names a component of rows, null for a
+    row that cannot link; ``text_hash`` tells rows with one doc_id apart.
+    """
     spark = docs.sparkSession
     bands = Bands(threshold)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("tag"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     common = spark.sparkContext.broadcast(_common(rows, words))
-    emitted = rows.mapInArrow(_emit(words, bands, parts * 8, common), _ROWS_SQL).repartition(parts, "bucket")
+    emitted = rows.mapInArrow(_emit(words, bands, parts * BUCKETS, common), _ROWS_SQL).repartition(parts, "bucket").sortWithinPartitions("bucket")
     met = stage(emitted.mapInArrow(_meet, _MET_SQL), "met")
-    sets = met.filter(F.col("n").isNotNull()).select("doc_id", "n", "s1", "s2", "sketch")
-    nodes = stage(sets.filter("n > 0 and doc_id is not null").groupBy("s1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    sets = met.filter(F.col("n").isNotNull()).select("doc_id", "tag", "n", "s1", "s2", "sketch")
+    least = F.min(F.struct("doc_id", "tag"))
+    nodes = stage(sets.filter("n > 0 and doc_id is not null").groupBy("s1").agg(least["doc_id"].alias("doc_id"), least["tag"].alias("tag"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     groups = stage(met.filter(F.col("members").isNotNull()).select("g1", "g2", "part", "members").dropDuplicates(["g1", "g2", "part"]), "groups")
 
     member = stage(groups.select("g1", "g2", F.explode("members").alias("s")).distinct(), "members")
     key = ["g1", "g2"]
     degree = member.join(member.groupBy(*key).count(), key).groupBy("s").agg(F.sum("count").alias("degree"))
     member = stage(member.join(degree, "s"), "degrees")
-    tried, links, joined, spent = None, None, None, None
+    tried, linked, joined, spent, seen = None, None, None, None, []
     for k in range(STARS + 1):
         here = member
         if joined is not None:
@@ -466,14 +605,39 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction = T
         if k and pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.union(pairs)
-        found = _links(pairs, nodes, rows, words, threshold)
-        links = found if links is None else links.union(found)
-        joined = components(links)
+        found, verified = _links(pairs, nodes, rows, words, threshold)
+        seen.append(verified)
+        linked = found if linked is None else linked.union(found)
+        joined = components(linked)
 
-    of_set = stage(nodes.select("s1", "doc_id").join(joined.withColumnRenamed("node", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1")), "set-classes")
+    of_set = stage(nodes.select("s1", "doc_id", "n", "m").join(joined.withColumnRenamed("node", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1")), "set-classes")
     lowest = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_set = of_set.join(lowest, "component").select("s1", "component_id")
-    sized = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("s1")).alias("s1")
-    placed = sets.select("doc_id", F.col("n").alias("n_shingles"), sized)
-    linked = placed.filter(F.col("s1").isNotNull()).join(of_set, "s1").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(placed.filter(F.col("s1").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    told = of_set.join(lowest, "component").select("s1", "m", "component", "component_id")
+    if links:
+        sets_of = seen[0]
+        for more in seen[1:]:
+            sets_of = sets_of.unionByName(more)
+        told = told.join(_link_counts(of_set, sets_of.dropDuplicates(["s"]), threshold).withColumnRenamed("s", "s1"), "s1", "left")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("m") - 1 if links else F.lit(None)).cast("long")
+    told = stage(told.select("s1", "m", "component_id", n_links.alias("n_links"), F.col("component").alias("class_id")), "told")
+    can = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    named = ["doc_id", F.col("n").alias("n_shingles")]
+    of_rows = stage(sets.filter(can).select("doc_id", "tag", "n", "s1"), "set-rows")
+    out = attach(of_rows, told, ["s1"], "m", of_rows.count()).select(*named, "component_id", "n_links", "class_id", F.col("tag").alias("text_hash"))
+    none = F.lit(None).cast("long")
+    alone = sets.filter(F.coalesce(~can, F.lit(True))).select(*named, F.col("doc_id").alias("component_id"), (F.lit(0).cast("long") if links else none).alias("n_links"), none.alias("class_id"), F.col("tag").alias("text_hash"))
+    return out.unionByName(alone)
+
+
+def first_of_each(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` but those of a class whose first row, by doc_id and then the hash of its text, is another one.
+
+    Rows that cannot link stay. Rows that repeat both id and text are one document and stay or go together.
+    """
+    said = stage(jaccard_classes(docs.select("doc_id", "text"), words, threshold, links=False).filter("class_id is not null").select("doc_id", "component_id", "class_id", "text_hash"), "classes")
+    lead = said.filter("doc_id = component_id")
+    first = lead.groupBy("class_id").agg(F.min("text_hash").alias("first"))
+    later = lead.join(first, "class_id").filter("text_hash <> first")
+    gone = stage(said.filter("doc_id <> component_id").select("doc_id", "text_hash").unionByName(later.select("doc_id", "text_hash")).distinct().select(F.col("doc_id").alias("__bs_id"), F.col("text_hash").alias("__bs_hash")), "gone")
+    match = (docs["doc_id"].cast("long") == F.col("__bs_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__bs_hash"))
+    return docs.join(sized(gone, gone.count()), match, "left_anti")

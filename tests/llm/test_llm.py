@@ -110,7 +110,62 @@ def test_ngram_jaccard(docs, none):
     got = ngram_jaccard.jaccard_classes(docs).collect()
     assert len(got) == len(_rows())
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), low[i]) for i, s in sets.items()}
-    assert ngram_jaccard.jaccard_classes(none).count() == 0
+    each = [sets[i] for i, *_ in _rows()]
+    links = Counter((i, sum(_near(sets[i], x) for x in each) - bool(sets[i])) for i, *_ in _rows())
+    assert Counter((r.doc_id, r.n_links) for r in got) == links
+    assert ngram_jaccard.jaccard_classes(none).count() == ngram_jaccard.first_of_each(none).count() == 0
+
+
+def _near(a, b):
+    return bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+
+
+def _family(rng, n, size=60):
+    base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(size)] = f"x{rng.randrange(40)}"
+        yield " ".join(words)
+
+
+@pytest.mark.parametrize("held", [700])
+def test_links_of_near_copies(spark, monkeypatch, held):
+    """Rows with null, repeated and clashing columns; large groups told in parts, classes counted in several blocks."""
+    rng = random.Random(6)
+    texts = [t for n in (150, 40, 2, 1, 1) for t in _family(rng, n)] + ["a b c", "A b C", "", None]
+    rows = [(rng.randrange(150), t, t and t[::-1], 1) for t in texts] + [(None, texts[0], "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string, n int")
+    monkeypatch.setattr(ngram_jaccard, "HELD", held)
+    monkeypatch.setattr(ngram_jaccard, "GROUP_ROW", 4096 if held > 1000 else 8)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_TOKENS", 1_500_000 if held > 1000 else 2000)
+    sets = [s if i is not None else set() for (i, *_), s in zip(rows, _sets([(k, t) for k, (_, t, *_) in enumerate(rows)]).values(), strict=True)]
+    low = _classes(dict(enumerate(sets)))
+    component = {c: min((rows[k][0] for k in low if low[k] == c and rows[k][0] is not None), default=None) for c in set(low.values())}
+    want = Counter((i, component[low[k]], sum(_near(sets[k], x) for x in sets) - bool(sets[k])) for k, (i, *_) in enumerate(rows))
+    assert Counter((r.doc_id, r.component_id, r.n_links) for r in ngram_jaccard.jaccard_classes(df).collect()) == want
+    stay = ngram_jaccard.first_of_each(df)
+    assert stay.columns == df.columns
+    kept = [tuple(r) for r in stay.collect()]
+    place = {(r[0], r[1]): k for k, r in reversed([*enumerate(rows)])}
+    first = {c: min((rows[k][0], k) for k in low if low[k] == c)[0] for c in {low[k] for k in low if sets[k]}}
+    of = Counter((low[place[r[0], r[1]]], r[0]) for r in set(kept) if sets[place[r[0], r[1]]])
+    assert of == Counter({(c, i): 1 for c, i in first.items()})
+    assert Counter(r for r in kept if not sets[place[r[0], r[1]]]) == Counter(r for r, s in zip(rows, sets, strict=True) if not s)
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 32])
+def test_links_counted_in_blocks(monkeypatch, frequent):
+    monkeypatch.setattr(ngram_jaccard, "FREQUENT", frequent)
+    rng = np.random.default_rng(frequent)
+    make = lambda n: [np.unique(rng.choice(60, rng.integers(20, 60), replace=False).astype(np.uint64)) for _ in range(n)]
+    x, y, t = make(700), make(90), ngram_jaccard.Fraction(1, 2)
+    mx, my = rng.integers(1, 4, len(x)), rng.integers(1, 4, len(y))
+    near = np.array([[2 * len(np.intersect1d(a, b)) >= len(np.union1d(a, b)) for b in y] for a in x])
+    of_x, of_y = ngram_jaccard.count_links(x, y, mx, my, t)
+    assert of_x.tolist() == (near @ my).tolist() and of_y.tolist() == (mx @ near).tolist()
+    near = np.array([[2 * len(np.intersect1d(a, b)) >= len(np.union1d(a, b)) for b in y] for a in y]) & ~np.eye(len(y), dtype=bool)
+    assert ngram_jaccard.count_links(y, y, my, my, t, same=True)[0].tolist() == (near @ my).tolist()
 
 
 def test_lanes_meet_whatever_is_left_out():
