@@ -470,7 +470,7 @@ def _left_over(mixed: DataFrame, nodes: DataFrame, key: list[str], threshold: Fr
 
 
 #: Shingles of all sets of a block of a class; those that more sets of two blocks hold than this are counted by products.
-BLOCK_TOKENS, FREQUENT = 1_500_000, 32
+BLOCK_TOKENS, FREQUENT = 600_000, 32
 
 
 def count_links(x: list[np.ndarray], y: list[np.ndarray], mx: np.ndarray, my: np.ndarray, threshold: Fraction, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -488,21 +488,25 @@ def count_links(x: list[np.ndarray], y: list[np.ndarray], mx: np.ndarray, my: np
     order = np.argsort(ay, kind="stable")  # an index of y: the sets that hold a token
     sets, first = ry[order], np.concatenate(([0], np.cumsum(held)))
     of_x, of_y, ends = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), np.concatenate(([0], np.cumsum(nx)))
-    wide = ry[frequent[ay]], column[ay[frequent[ay]]]
+    wide, step = (ry[frequent[ay]], column[ay[frequent[ay]]]), max(64, 16_000_000 // max(1, len(y)))
+    b, here = None, -1
     for lo in range(0, len(x), 512):
         hi = min(lo + 512, len(x))
         part = ax[ends[lo] : ends[hi]]
         row = np.repeat(np.arange(hi - lo), nx[lo:hi])
         inter = np.zeros((hi - lo, len(y)), np.float32)
-        for c in range(0, int(frequent.sum()), 2048):
-            a, b = np.zeros((hi - lo, 2048), np.float32), np.zeros((len(y), 2048), np.float32)
-            own = frequent[part] & (column[part] >= c) & (column[part] < c + 2048)
-            a[row[own], column[part[own]] - c] = 1
+        for c in range(0, int(frequent.sum()), step):
+            size = min(step, int(frequent.sum()) - c)
+            own = frequent[part] & (column[part] >= c) & (column[part] < c + size)
             if not own.any():
                 continue
-            there = (wide[1] >= c) & (wide[1] < c + 2048)
-            b[wide[0][there], wide[1][there] - c] = 1
-            inter += a @ b.T
+            a = np.zeros((hi - lo, size), np.float32)
+            a[row[own], column[part[own]] - c] = 1
+            if here != c:
+                b, here = np.zeros((size, len(y)), np.float32), c
+                there = (wide[1] >= c) & (wide[1] < c + size)
+                b[wide[1][there] - c, wide[0][there]] = 1
+            inter += a @ b
         rare = ~frequent[part]
         times = held[part[rare]]
         if times.sum():
