@@ -10,19 +10,18 @@ from braidstone.llm.queries import vocabulary
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, for want of a letter, go."""
+    """Documents without a letter go, and those whose language is hardly surer than chance."""
     return language_id.identified_rows(docs)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
-    return exact_dedup.exact_dedup(docs).filter("kept").select(*docs.columns)
+    return exact_dedup.kept_rows(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest id stays; rows without an id stay."""
-    gone = ngram_jaccard.jaccard_classes(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return ngram_jaccard.first_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
