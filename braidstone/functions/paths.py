@@ -11,7 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-META_DIR = ".syncbox"
+#: The folder of a tree that holds its own records, by default.
+META_DIR = ".replica"
 # Device names that some systems reserve: fixed values.
 RESERVED = ("con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10)))
 
@@ -30,11 +31,11 @@ def normalise(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one)
 
 
-def is_safe(p: Column) -> Column:
+def is_safe(p: Column, meta: str = META_DIR) -> Column:
     """Whether a relative path may be written: no way out of the tree, nothing reserved, no control characters."""
     parts = F.split(p, "/")
     bad = F.exists(parts, lambda s: s.isin("", ".", "..") | F.lower(F.regexp_extract(s, r"^([^.]*)", 1)).isin(*RESERVED) | s.rlike(r"[ .]$"))
-    return F.coalesce((p != "") & ~p.startswith("/") & ~p.rlike(r"^[A-Za-z]:") & ~p.rlike(r"[\x00-\x1f]") & (parts[0] != META_DIR) & ~bad, F.lit(False))
+    return F.coalesce((p != "") & ~p.startswith("/") & ~p.rlike(r"(?s)^.:") & ~p.rlike(r"[\x00-\x1f]") & (parts[0] != meta) & ~bad, F.lit(False))
 
 
 def parent_of(p: Column) -> Column:
@@ -69,3 +70,13 @@ def looks_like_text(data: Column) -> Column:
 def backoff(attempt: Column, seed: int) -> Column:
     """Full jitter below 0.5 * 2^attempt seconds, 60 at most."""
     return F.rand(seed) * F.least(F.lit(60.0), F.lit(0.5) * F.pow(F.lit(2.0), attempt))
+
+
+def check_safe(p: Column, meta: str = META_DIR) -> Column:
+    """``p``, or an error where it is not safe."""
+    return F.when(is_safe(p, meta), p).otherwise(F.raise_error(F.concat(F.lit("unsafe path: "), F.coalesce(p, F.lit("null")))).cast("string"))
+
+
+def short_id(content_id: Column) -> Column:
+    """The first eight characters behind an id's prefix; ``-`` for none."""
+    return F.coalesce(F.substring(F.substring_index(content_id, ":", -1), 1, 8), F.lit("-"))

@@ -89,8 +89,9 @@ def is_text(data: bytes) -> bool:
 def merge_text(base: bytes, mine: bytes, theirs: bytes) -> tuple[bytes, bool, int] | None:
     """(merged, clean, conflicting regions) of line edits on both sides; None unless all three are text.
 
-    Edits at disjoint places of the base both apply, equal overlapping ones once, other overlaps between markers. Two
-    insertions at one place are no conflict: mine, then theirs.
+    Edits at disjoint places of the base both apply, overlapping ones with one text once, other overlaps between
+    markers. Two insertions at one place are no conflict: mine, then theirs. After an overlap both sides go on one edit;
+    a later one may begin before it.
     """
     if not all(map(is_text, (base, mine, theirs))):
         return None
@@ -98,23 +99,21 @@ def merge_text(base: bytes, mine: bytes, theirs: bytes) -> tuple[bytes, bool, in
 
     def edits(new: bytes) -> list[tuple[int, int, list[str]]]:
         lines = new.decode("utf-8", "replace").splitlines(keepends=True)
-        ops = difflib.SequenceMatcher(None, old, lines, autojunk=False).get_opcodes()
+        ops = difflib.SequenceMatcher(None, old, lines).get_opcodes()
         return [(i1, i2, lines[j1:j2]) for tag, i1, i2, j1, j2 in ops if tag != "equal"]
 
     queue = {"mine": edits(mine), "theirs": edits(theirs)}
     out, at, regions = [], 0, 0
 
     def copy_to(line: int) -> None:
-        nonlocal at
         out.extend(old[at:line])
-        at = max(at, line)
 
     def apply(side: str) -> None:
         nonlocal at
         lo, hi, lines = queue[side].pop(0)
         copy_to(lo)
         out.extend(lines)
-        at = max(at, hi)
+        at = hi
 
     while queue["mine"] or queue["theirs"]:
         if not queue["theirs"] or queue["mine"] and queue["mine"][0][1] <= queue["theirs"][0][0]:
@@ -124,12 +123,12 @@ def merge_text(base: bytes, mine: bytes, theirs: bytes) -> tuple[bytes, bool, in
         else:
             a, b = queue["mine"].pop(0), queue["theirs"].pop(0)
             copy_to(min(a[0], b[0]))
-            if a == b:
+            if a[2] == b[2]:
                 out.extend(a[2])
             else:
                 regions += 1
                 out += ["<<<<<<< mine\n", *a[2], "=======\n", *b[2], ">>>>>>> theirs\n"]
-            at = max(at, a[1], b[1])
+            at = max(a[1], b[1])
     copy_to(len(old))
     return "".join(out).encode(), regions == 0, regions
 
@@ -143,3 +142,12 @@ def merge_rows(rows: DataFrame, key: str) -> DataFrame:
             yield pd.DataFrame({key: f[key], "merged": [g and g[0] for g in got], "clean": pd.array([g and g[1] for g in got], "boolean"), "regions": pd.array([g and g[2] for g in got], "Int64")})
 
     return rows.select(key, *(F.col(c).cast("binary").alias(c) for c in ("base", "mine", "theirs"))).mapInPandas(run, f"{key} long, merged binary, clean boolean, regions long")
+
+
+def merge_outcome(merged: DataFrame, markers: bool = False) -> DataFrame:
+    """``merge_rows`` with ``op``: the merged text is written (MERGED), or both versions stay (CONFLICT_SPLIT).
+
+    Both stay where a side or the ancestor is absent or no text, and where edits overlap unless ``markers`` may be written.
+    """
+    good = F.col("merged").isNotNull() & (F.col("clean") | F.lit(markers))
+    return merged.withColumn("op", F.when(good, "MERGED").otherwise("CONFLICT_SPLIT")).withColumn("merged", F.when(good, F.col("merged")))

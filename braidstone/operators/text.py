@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidstone.functions.staging import sized, stage
+
 MIN_COUNT = 50
+#: White space, that of Unicode too, in the syntax that Java and RE2 share.
+BLANKS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 #: Documents are numbered in blocks; offsets are summed over blocks first, so no task holds all documents.
 OFFSET_BLOCK = 4096
 
 
 def token_arrays(docs: DataFrame) -> DataFrame:
     """``docs`` with ``words``: lower-cased, split at white space, no empty ones."""
-    return docs.withColumn("words", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != ""))
+    return docs.withColumn("words", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), BLANKS), lambda w: w != ""))
 
 
 def tokens(docs: DataFrame, *keep: str) -> DataFrame:
@@ -29,11 +38,16 @@ def offsets(rows: DataFrame, order: str, size: str) -> DataFrame:
     return rows.withColumn("block", block).withColumn("inside", inside).join(before, "block").withColumn("offset", (F.col("inside") + F.col("before")).cast("long")).drop("block", "inside", "before")
 
 
+def placed_arrays(docs: DataFrame) -> DataFrame:
+    """``(doc_id, words, offset)``, stored: ``offset`` tokens of the stream of all documents by doc_id come before."""
+    arrays = stage(token_arrays(docs).select("doc_id", "words", F.size("words").cast("long").alias("size")), "words")
+    at = offsets(arrays.select("doc_id", "size"), "doc_id", "size").select("doc_id", "offset")
+    return arrays.drop("size").join(sized(at, arrays.count()), "doc_id")
+
+
 def stream(docs: DataFrame) -> DataFrame:
     """``(gpos, word)``: all documents one after another by doc_id, every token in its place."""
-    arrays = token_arrays(docs).select("doc_id", "words", F.size("words").cast("long").alias("size"))
-    at = offsets(arrays.select("doc_id", "size"), "doc_id", "size").select("doc_id", "offset")
-    return arrays.join(at, "doc_id").select("offset", F.posexplode("words").alias("pos", "word")).select((F.col("offset") + F.col("pos")).alias("gpos"), "word")
+    return placed_arrays(docs).select("offset", F.posexplode("words").alias("pos", "word")).select((F.col("offset") + F.col("pos")).alias("gpos"), "word")
 
 
 def vocabulary(words: DataFrame, least: int = MIN_COUNT) -> DataFrame:
@@ -66,6 +80,49 @@ def cooccurrence(words: DataFrame, vocab: DataFrame, window: int) -> DataFrame:
     return both.unionByName(both.select(F.col("c").alias("w"), F.col("w").alias("c"), "d", "n")).groupBy("w", "c", "d").agg(F.sum("n").alias("n"))
 
 
+#: A vocabulary up to this size is sent to the tasks; a larger one meets the tokens in joins.
+SENT_WORDS = 200_000
+
+
+def document_cooccurrence(arrays: DataFrame, vocab: DataFrame, window: int) -> DataFrame:
+    """What ``cooccurrence`` of the stream of ``arrays(doc_id, words, offset)`` gives.
+
+    Neighbours within a document are counted where it lies and added up before they are shuffled; only the first and
+    last ``window`` tokens of a document meet those of others by their places.
+    """
+    tokens_of = lambda df: df.select("offset", F.posexplode("words").alias("pos", "word")).select((F.col("offset") + F.col("pos")).alias("gpos"), "word")
+    sent = vocab.select("word").orderBy("word").limit(SENT_WORDS + 1).toArrow().column("word").combine_chunks()
+    if len(sent) > SENT_WORDS:
+        return cooccurrence(tokens_of(arrays), vocab, window)
+    words = arrays.sparkSession.sparkContext.broadcast(sent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.value
+        for b in batches:
+            lists = b.column(0)
+            ids = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            codes = [np.zeros(0, np.int64)]
+            for d in range(1, window + 1):
+                w, c = ids[d:], ids[:-d]
+                met = (w >= 0) & (c >= 0) & (doc[d:] == doc[:-d])
+                codes.append(((w[met] * len(known)) + c[met]) * (window + 1) + d)
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            pair, d = np.divmod(code, window + 1)
+            w, c = np.divmod(pair, max(1, len(known)))
+            yield pa.record_batch([known.take(pa.array(w)), known.take(pa.array(c)), pa.array(d.astype(np.int32)), pa.array(n.astype(np.int64))], ["w", "c", "d", "n"])
+
+    inside = arrays.select(F.coalesce("words", F.array().cast("array<string>")).alias("words")).mapInArrow(run, "w string, c string, d int, n long")
+    edge = lambda first, size: F.expr(f"transform(slice(words, {first}, {size}), (x, i) -> struct(offset + {first} - 1 + i as gpos, x as word))")
+    n = f"greatest(least({window}, size(words) - {window}), 0)"
+    ends_of = arrays.filter(F.size("words") > 0).select("doc_id", F.explode(F.concat(edge("1", f"least({window}, size(words))"), edge(f"size(words) - {n} + 1", n))).alias("t"))
+    kept = ends_of.select("doc_id", "t.gpos", "t.word").join(F.broadcast(vocab.select("word")), "word", "left_semi")
+    shifted = kept.select(F.col("doc_id").alias("other"), F.explode(F.array(*(F.lit(d) for d in range(1, window + 1)))).alias("d"), "gpos", F.col("word").alias("c")).withColumn("gpos", F.col("gpos") + F.col("d"))
+    across = kept.withColumnRenamed("word", "w").join(shifted, "gpos").filter("doc_id <> other").select("w", "c", "d", F.lit(1).cast("long").alias("n"))
+    both = inside.unionByName(across).groupBy("w", "c", "d").agg(F.sum("n").alias("n"))
+    return both.unionByName(both.select(F.col("c").alias("w"), F.col("w").alias("c"), "d", "n")).groupBy("w", "c", "d").agg(F.sum("n").alias("n"))
+
+
 def window_counts(cells: DataFrame, window: int) -> DataFrame:
     return cells.filter(F.col("d") <= window).groupBy("w", "c").agg(F.sum("n").alias("n"))
 
@@ -98,18 +155,25 @@ def sparse_cosine(cells: DataFrame, key: str, dim: str, value: str, targets: Dat
     return pairs.join(na, "a").join(nb, "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("sim"))
 
 
-def top(rows: DataFrame, group: str, by: str, name: str, k: int) -> DataFrame:
-    """The k rows of each group with the largest ``by`` (rounded to 6 places, ties by ``name``), with ``rank``."""
+def top(rows: DataFrame, group: str, by: str, name: str, k: int | None = None) -> DataFrame:
+    """The k rows (None: all) of each group with the largest ``by`` (rounded to 6 places, ties by ``name``), with ``rank``."""
     w = Window.partitionBy(group).orderBy(F.round(by, 6).desc(), name)
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    ranked = rows.withColumn("rank", F.row_number().over(w).cast("long"))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+
+
+def ends(ranked: DataFrame, group: str, head: int, tail: int) -> DataFrame:
+    """The first ``head`` and last ``tail`` rows of each group of ``ranked(group, rank)``."""
+    last = ranked.groupBy(group).agg(F.max("rank").alias("last"))
+    return ranked.join(last, group).filter((F.col("rank") <= head) | (F.col("rank") > F.col("last") - tail)).drop("last")
 
 
 def similar(cells: DataFrame, value: str, targets: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
     """``(word, neighbour, sim, rank)``: for each target word the k most similar rows; words without overlap score 0."""
     sims = sparse_cosine(cells.withColumnRenamed("w", "word"), "word", "c", value, targets)
     got = sims.select(F.col("a").alias("word"), F.col("b").alias("neighbour"), "sim")
-    # k of the names in order and the targets themselves are enough to fill up a list with zeros
-    spare = names.select(F.col("word").alias("neighbour")).orderBy("neighbour").limit(1000)
+    # of k + 1 names one may be the word itself and each other one missing is a row already found
+    spare = names.select(F.col("word").alias("neighbour")).orderBy("neighbour").limit(k + 1)
     zeros = targets.select("word").join(F.broadcast(spare)).filter("word <> neighbour").join(got, ["word", "neighbour"], "left_anti").withColumn("sim", F.lit(0.0))
     return top(got.unionByName(zeros), "word", "sim", "neighbour", k)
 

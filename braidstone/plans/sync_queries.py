@@ -212,7 +212,7 @@ ORACLES = {
     "chunk_dedup": f"with {_LINES}, a as (select distinct doc_id // 2 as grp, chunk, 1 as there from li where doc_id % 2 = 0), m as (select b.doc_id // 2 as grp, b.chunk, size, there from li b left join a on a.grp = b.doc_id // 2 and a.chunk = b.chunk where b.doc_id % 2 = 1), c as (select grp, count(there)::bigint as shared, count(*)::bigint as total from m group by grp), nd as (select grp, sum(size)::bigint as nb from (select distinct grp, chunk, size from m where there is null) group by grp) select grp, shared, total, coalesce(nb, 0)::bigint as needed_bytes from c left join nd using (grp)",
     "have_need": f"with {_LINES} select distinct chunk from li where doc_id % 2 = 1 and chunk not in (select chunk from li where doc_id % 2 = 0)",
     "convergence_check": "select 3::bigint as replicas, count(*)::bigint as paths, true as same, 'alike' as tree from documents union all select 3, count(*), not bool_or(doc_id = 7), 'edited' from documents",
-    "path_safety": rf"with {_PG}, o as (select page_id, case page_id % 5 when 1 then '../' || path when 2 then path || '/CON.txt' when 3 then path || ' ' else path end as path from pg) select page_id, path, path <> '' and path not like '/%' and not regexp_matches(path, '^[A-Za-z]:') and not regexp_matches(path, '[\x00-\x1f]') and string_split(path, '/')[1] <> '.syncbox' and len(list_filter(string_split(path, '/'), lambda s: s in ('', '.', '..') or regexp_full_match(lower(regexp_extract(s, '^([^.]*)', 1)), '{_RES}') or regexp_matches(s, '[ .]$'))) = 0 as safe from o",
+    "path_safety": rf"with {_PG}, o as (select page_id, case page_id % 5 when 1 then '../' || path when 2 then path || '/CON.txt' when 3 then path || ' ' else path end as path from pg) select page_id, path, path <> '' and path not like '/%' and not regexp_matches(path, '(?s)^.:') and not regexp_matches(path, '[\x00-\x1f]') and string_split(path, '/')[1] <> '.replica' and len(list_filter(string_split(path, '/'), lambda s: s in ('', '.', '..') or regexp_full_match(lower(regexp_extract(s, '^([^.]*)', 1)), '{_RES}') or regexp_matches(s, '[ .]$'))) = 0 as safe from o",
     "path_parts": rf"with {_PG} select page_id, regexp_extract(path, '^(.*)/[^/]*$', 1) as parent, (length(path) - length(replace(path, '/', '')))::bigint as depth, array_to_string(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/')), '|') as ancestors from pg",
     "conflict_names": rf"with {_PG} select page_id, path || case when page_id % 2 = 0 then '/a.b' else '/' end || ' (conflicted copy from p 2024-01-02 030405' || case when page_id % 3 > 1 then ' #' || (page_id % 3) else '' end || ')' || case when page_id % 2 = 0 then '.txt' else '.rc' end as name from pg",
     "text_sniff": "select doc_id, case when doc_id % 3 = 0 then strlen(coalesce(text, '')) >= 8192 when doc_id % 3 = 1 then false else true end as is_text from documents where strlen(coalesce(text, '')) < 8192 or doc_id % 3 = 1 union all select doc_id, try(decode(encode(coalesce(text, ''))[1:8192])) is not null from documents where strlen(coalesce(text, '')) >= 8192 and doc_id % 3 <> 1",

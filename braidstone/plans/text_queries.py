@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from braidstone.functions.staging import stage
 from braidstone.operators import chars, text
 
-TARGETS, WINDOWS = 20, (1, 2, 5, 10)
+WINDOWS = (1, 2, 5, 10)
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def document_similarity(spark, d):
 def document_rank(spark, d):
     s = text.sparse_cosine(term_document(spark, d), "doc", "word", "tf")
     both = s.unionByName(s.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    return r6(text.top(both, "a", "sim", "b", 1000), "sim")
+    return r6(text.top(both, "a", "sim", "b"), "sim")
 
 
 def _tfidf(spark, d):
@@ -65,8 +65,9 @@ def top_terms_tfidf(spark, d):
 
 
 def _cells(spark, d, window):
-    words = text.stream(docs(spark, d))
-    return text.cooccurrence(words, text.vocabulary(words), window)
+    arrays = stage(text.placed_arrays(docs(spark, d)), "placed")
+    vocab = stage(text.vocabulary(arrays.select(F.explode("words").alias("word"))), "vocabulary")
+    return text.document_cooccurrence(arrays, vocab, window)
 
 
 def cooccurrence_w2(spark, d):
@@ -82,10 +83,12 @@ def ppmi(spark, d):
     return r6(text.ppmi(cooccurrence_w2(spark, d)), "ppmi")
 
 
-def _similar(spark, d, value, targets=lambda vocab: vocab.orderBy(F.desc("n"), "word").limit(TARGETS)):
+def _similar(spark, d, value):
+    """For each word of the vocabulary whose index is divisible by 20."""
     vocab = stage(text.vocabulary(text.tokens(docs(spark, d))), "vocabulary")
     cells = stage(text.ppmi(cooccurrence_w2(spark, d)), "cells")
-    return r6(text.similar(cells, value, targets(vocab), vocab), "sim")
+    targets = stage(text.indexed(vocab).filter("idx % 20 = 0").drop("idx"), "targets")
+    return r6(text.similar(cells, value, targets, vocab), "sim")
 
 
 def similar_words_raw(spark, d):
@@ -96,16 +99,9 @@ def similar_words_ppmi(spark, d):
     return _similar(spark, d, "ppmi")
 
 
-def _every_20th(vocab):
-    return stage(text.indexed(vocab).filter("idx % 20 = 0").drop("idx"), "targets")
-
-
-def similar_words_raw_every_20th(spark, d):
-    return _similar(spark, d, "n", _every_20th)
-
-
-def similar_words_ppmi_every_20th(spark, d):
-    return _similar(spark, d, "ppmi", _every_20th)
+def rank_ends(spark, d):
+    """The five most and three least similar units of each."""
+    return text.ends(document_rank(spark, d), "a", 5, 3)
 
 
 def group_pair_similarity(spark, d):
@@ -141,10 +137,10 @@ def uniform_cross_entropy(spark, d):
     return r6(chars.cross_entropy(chars.char_counts(docs(spark, d))), "uniform", "unigram")
 
 
-QUERIES = {f.__name__: f for f in (word_count_min50, term_document, doc_frequency, td_sparsity, document_similarity, document_rank, tfidf, top_terms_raw, top_terms_tfidf, cooccurrence_w2, cooccurrence_sweep, ppmi, similar_words_raw, similar_words_ppmi, similar_words_raw_every_20th, similar_words_ppmi_every_20th, group_pair_similarity, char_vocab, char_encode, char_decode, train_val_split, char_blocks, uniform_cross_entropy)}
+QUERIES = {f.__name__: f for f in (word_count_min50, term_document, doc_frequency, td_sparsity, document_similarity, document_rank, tfidf, top_terms_raw, top_terms_tfidf, cooccurrence_w2, cooccurrence_sweep, ppmi, similar_words_raw, similar_words_ppmi, rank_ends, group_pair_similarity, char_vocab, char_encode, char_decode, train_val_split, char_blocks, uniform_cross_entropy)}
 
-_TOK = r"""tok as (select doc_id, source, lang, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from (
-  select doc_id, source, lang, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') as w from documents))"""
+_TOK = rf"""tok as (select doc_id, source, lang, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from (
+  select doc_id, source, lang, list_filter(string_split_regex(lower(coalesce(text, '')), '{text.BLANKS}'), lambda x: x <> '') as w from documents))"""
 _VOC = f"{_TOK}, voc as (select word, count(*) as n from tok group by word having count(*) >= 50)"
 _TD = f"{_VOC}, td as (select word, source as doc, count(*)::bigint as tf from tok where word in (select word from voc) group by 1, 2)"
 _SIM = """norms as (select k, sqrt(sum(v * v)) as norm from vec group by k),
@@ -166,18 +162,13 @@ _PPMI = f"{_cooc(2)}, cells as (select w, c, count(*)::bigint as n from co group
 def _similar_sql(value: str) -> str:
     return f"""with {_PPMI}, vec as (select w as k, c as dim, {value}::double as v from pp where {value} <> 0),
       norms as (select k, sqrt(sum(v * v)) as norm from vec group by k),
-      tg as (select word from voc order by n desc, word limit {TARGETS}),
+      tg as (select word from (select word, row_number() over (order by word) - 1 as idx from voc) where idx % 20 = 0),
       dots as (select x.k as word, y.k as neighbour, sum(x.v * y.v) / (any_value(nx.norm) * any_value(ny.norm)) as sim
         from vec x join vec y on x.dim = y.dim and x.k <> y.k join norms nx on nx.k = x.k join norms ny on ny.k = y.k where x.k in (select word from tg) group by 1, 2),
       al as (select tg.word, voc.word as neighbour, coalesce(sim, 0.0) as sim from tg join voc on tg.word <> voc.word left join dots on dots.word = tg.word and dots.neighbour = voc.word)
       select word, neighbour, round(sim, 6) as sim, rank from (select *, row_number() over (partition by word order by round(sim, 6) desc, neighbour) as rank from al) where rank <= 10"""
 
 
-def _every_20th_sql(value: str) -> str:
-    targets = "tg as (select word from (select word, row_number() over (order by word) - 1 as idx from voc) where idx % 20 = 0)"
-    return _similar_sql(value).replace(f"tg as (select word from voc order by n desc, word limit {TARGETS})", targets)
-
-
 _CH = "ch as (select doc_id, unnest(c) as ch, unnest(range(1, len(c) + 1)) as pos from (select doc_id, string_split(text, '') as c from documents where text <> '')), cv as (select ch, (row_number() over (order by ch) - 1)::integer as id from (select distinct ch from ch))"
 _AT = "pl as (select doc_id, coalesce(text, '') as text, length(coalesce(text, ''))::bigint as size, (sum(length(coalesce(text, ''))) over (order by doc_id) - length(coalesce(text, '')))::bigint as off from documents)"
 
@@ -196,8 +187,7 @@ ORACLES = {
     "ppmi": f"with {_PPMI} select w, c, n, round(ppmi, 6) as ppmi from pp",
     "similar_words_raw": _similar_sql("n"),
     "similar_words_ppmi": _similar_sql("ppmi"),
-    "similar_words_raw_every_20th": _every_20th_sql("n"),
-    "similar_words_ppmi_every_20th": _every_20th_sql("ppmi"),
+    "rank_ends": f"with {_TDSIM}, bo as (select a, b, sim from sims union all select b, a, sim from sims), r as (select a, b, round(sim, 6) as sim, row_number() over (partition by a order by round(sim, 6) desc, b) as rank from bo) select * from r qualify rank <= 5 or rank > max(rank) over (partition by a) - 3",
     "group_pair_similarity": f"with {_VOC}, td as (select word, source || '/' || lang as doc, lang, count(*) as tf from tok where word in (select word from voc) group by 1, 2, 3), vec as (select doc as k, word as dim, tf::double as v from td), {_SIM}, g as (select distinct doc, lang from td) select least(x.lang, y.lang) as group_a, greatest(x.lang, y.lang) as group_b, round(avg(sim), 6) as mean_sim, count(*)::bigint as pairs from sims join g x on x.doc = a join g y on y.doc = b group by 1, 2",
     "char_vocab": f"with {_CH} select ch, id from cv",
     "char_encode": f"with {_CH}, e as (select doc_id, count(*)::bigint as n, md5(string_agg(id::varchar, ',' order by pos)) as ids_md5 from ch join cv using (ch) group by doc_id) select d.doc_id, coalesce(n, 0)::bigint as n, coalesce(ids_md5, md5('')) as ids_md5 from documents d left join e using (doc_id)",

@@ -104,7 +104,7 @@ ORACLES = {
     "centroids": f"with {_V} select label, pos::bigint as pos, round(avg(x), 6) as mean from (select label, unnest(e) as x, unnest(range(0, len(e))) as pos from v) group by 1, 2",
     "bias_scores": f"with {_V}, {_CENT}, s as (select vec_id, list_cosine_similarity(e, (select c from ce where label = 0)) - list_cosine_similarity(e, (select c from ce where label = 1)) as score from v) select vec_id, round(score, 6) as score, case when score > 0.05 then 'FEMALE' when score < -0.05 then 'MALE' else 'neutral' end as direction from s",
     "pair_scores": f"with {_PAIRS} select w1, w2, human, round(score, 6) as score from ps",
-    "kendall_tau": f"with {_PAIRS}, l as (select * from ps order by w1 limit 999) select round(sum(sign(p.human - q.human) * sign(p.score - q.score)) / sqrt(sum(abs(sign(p.human - q.human)))::double * sum(abs(sign(p.score - q.score)))::double), 6) as tau from l p join l q on p.w1 < q.w1",
+    "kendall_tau": f"with {_PAIRS}, l as (select * from ps) select round(sum(sign(p.human - q.human) * sign(p.score - q.score)) / sqrt(sum(abs(sign(p.human - q.human)))::double * sum(abs(sign(p.score - q.score)))::double), 6) as tau from l p join l q on p.w1 < q.w1",
     "silhouette": f"with {_ITEMS}, dd as (select x.target, x.vec_id as i, x.label as li, y.label as lj, list_distance(x.e, y.e) as d from it x join it y on x.target = y.target and x.vec_id <> y.vec_id), m as (select target, i, li, lj, avg(d) as m from dd group by all), s as (select target, i, max(m) filter (li = lj) as a, min(m) filter (li <> lj) as b from m group by 1, 2) select target, round(avg(case when a is null or b is null then 0.0 else (b - a) / greatest(a, b) end), 6) as silhouette from s group by target",
     "paired_fscore": f"with {_ITEMS}, two as (select x.target, x.guess = y.guess as p, x.label = y.label as g from it x join it y on x.target = y.target and x.vec_id < y.vec_id), c as (select target, count(*) filter (p and g) as tp, count(*) filter (p) as pp, count(*) filter (g) as gp from two group by target) select target, round(case when pp > 0 then tp / pp else 0 end, 6) as precision, round(case when gp > 0 then tp / gp else 0 end, 6) as recall, round(case when tp > 0 then 2 * (tp / pp) * (tp / gp) / (tp / pp + tp / gp) else 0 end, 6) as fscore from c",
     "causal_attention": f"with {_V}, r as (select vec_id // 8 as seq, vec_id % 8 as pos, e from v), s as (select q.seq, q.pos, k.e, list_inner_product(q.e, k.e) / 8.0 as s from r q join r k on q.seq = k.seq and k.pos <= q.pos), x as (select *, exp(s - max(s) over (partition by seq, pos)) as ex from s), w as (select seq, pos, e, ex / sum(ex) over (partition by seq, pos) as w from x) select seq, pos, dim::bigint as dim, round(sum(w * x), 6) as value from (select seq, pos, w, unnest(e) as x, unnest(range(0, len(e))) as dim from w) group by 1, 2, 3",

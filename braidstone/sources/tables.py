@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from braidstone.functions.paths import META_DIR
+
 
 def text_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc, text)`` of the ``.txt`` files of a folder; the name is the stem in title case. No files: an empty corpus."""
@@ -46,11 +48,11 @@ def vector_files(spark: SparkSession, names: DataFrame, folder: str, size: int =
     return names.withColumn("file", F.replace("name", F.lit(" "), F.lit("_"))).join(found, "file", "left").select("name", F.coalesce("vec", F.array_repeat(F.lit(0.0), size)).alias("vec"))
 
 
-def folder_scan(spark: SparkSession, folder: str) -> DataFrame:
+def folder_scan(spark: SparkSession, folder: str, meta: str = META_DIR) -> DataFrame:
     """``(path, size, mtime, data)`` of the files below a folder, its metadata folder left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     rel = F.regexp_replace("path", F.concat(F.lit("^.*?"), F.regexp_replace(F.lit(folder.rstrip("/").removeprefix("file://")), r"([.+*?()\[\]{}|^$\\])", r"\\$1"), F.lit("/")), F.lit(""))
-    return raw.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("content").alias("data")).filter(~F.col("path").startswith(".syncbox/"))
+    return raw.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("content").alias("data")).filter(~F.col("path").startswith(f"{meta}/"))
 
 
 def hash_cache(scan: DataFrame, cache: DataFrame, now: str, settle_seconds: int = 2) -> DataFrame:

@@ -177,7 +177,7 @@ def test_moves_with_cycles(moves):
 
 
 def test_paths(spark):
-    rows = [("../../etc/passwd", False), (".syncbox/state.db", False), ("CON.txt", False), ("dir/PRN", False), ("dir/console.txt", True), ("", False), ("C:/x", False), ("a/b ", False)]
+    rows = [("../../etc/passwd", False), (".replica/state.db", False), ("CON.txt", False), ("dir/PRN", False), ("dir/console.txt", True), ("", False), ("C:/x", False), ("a/b ", False)]
     got = spark.createDataFrame(rows, "p string, want boolean").select(paths.is_safe(F.col("p")).alias("got"), "want").collect()
     assert all(r.got == r.want for r in got)
     nfd = spark.createDataFrame([("cafe\u0301//x/../y",), ("/abs",)], "p string").select(paths.normalise("p").alias("p")).collect()
