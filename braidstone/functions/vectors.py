@@ -36,8 +36,10 @@ def layer_norm(a: Column, eps: float = 1e-5) -> Column:
     """Mean 0 and variance 1 over the array."""
     n = F.size(a)
     mean = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / n
-    var = F.aggregate(F.transform(a, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda acc, x: acc + x) / n
-    return F.transform(a, lambda x: (x - mean) / F.sqrt(var + eps))
+    var = dot(a, a) / n - mean * mean
+    # the two sums once for all elements, not once for each
+    once = F.array(F.struct(mean.alias("mean"), F.sqrt(var + eps).alias("sd")))
+    return F.transform(once, lambda s: F.transform(a, lambda x: (x - s["mean"]) / s["sd"]))[0]
 
 
 def relu(a: Column) -> Column:

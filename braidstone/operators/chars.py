@@ -80,6 +80,26 @@ def causal_attention(rows: DataFrame, seq: str, pos: str, vec: str) -> DataFrame
     return soft.select("seq", F.col("qpos").alias("pos"), "weight", F.posexplode("k").alias("dim", "x")).groupBy("seq", "pos", "dim").agg(F.sum(F.col("weight") * F.col("x")).alias("value"))
 
 
+def multi_head_attention(rows: DataFrame, seq: str, pos: str, vec: str, heads: int) -> DataFrame:
+    """``causal_attention`` of each of ``heads`` equal slices of the vectors by itself; the slices' results side by side.
+
+    Projections come before it, as ``functions.vectors.linear`` of the vectors.
+    """
+    size = F.size(vec) / heads
+    cut = rows.select(F.col(seq).alias("seq"), F.col(pos).alias("pos"), F.col(vec).alias("v"), size.cast("int").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(heads - 1))).alias("head"))
+    part = cut.select(F.struct("seq", "head", "size").alias("s"), "pos", F.slice("v", F.col("head") * F.col("size") + 1, F.col("size")).alias("v"))
+    out = causal_attention(part, "s", "pos", "v")
+    return out.select(F.col("seq.seq").alias("seq"), "pos", (F.col("seq.head") * F.col("seq.size") + F.col("dim")).alias("dim"), "value")
+
+
+def target_cross_entropy(rows: DataFrame, group: str, logit: str, is_target: Column) -> DataFrame:
+    """``(rows, loss)``: the mean over groups of log(sum(exp(logits))) less the target's logit; groups without a target are left out."""
+    w = Window.partitionBy(group)
+    top = rows.withColumns({"top": F.max(logit).over(w), "t": is_target})
+    each = top.groupBy(group).agg((F.log(F.sum(F.exp(F.col(logit) - F.col("top")))) + F.max("top") - F.max(F.when(F.col("t"), F.col(logit)))).alias("loss"))
+    return each.filter(F.col("loss").isNotNull()).agg(F.count(F.lit(1)).alias("rows"), F.avg("loss").alias("loss"))
+
+
 def softmax(rows: DataFrame, group: str, logit: str, temperature: float = 1.0) -> DataFrame:
     """``rows`` with ``p``."""
     w = Window.partitionBy(group)

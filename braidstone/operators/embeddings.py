@@ -176,6 +176,19 @@ def paired_fscore(items: DataFrame, target: str, predicted: str, gold: str) -> D
     return tp.join(pp, target).join(gp, target).withColumn("precision", p).withColumn("recall", r).select(target, "precision", "recall", f.alias("fscore"))
 
 
+def compare_scores(one: DataFrame, two: DataFrame, target: str, names: tuple[str, str] = ("sparse", "dense")) -> DataFrame:
+    """``(target, <one>, <two>, winner)`` of two results ``(target, fscore)``; equal scores are a tie."""
+    a, b = names
+    met = one.select(target, F.col("fscore").alias(a)).join(two.select(target, F.col("fscore").alias(b)), target)
+    return met.withColumn("winner", F.when(F.col(a) > F.col(b), a).when(F.col(b) > F.col(a), b).otherwise("tie"))
+
+
+def score_summary(compared: DataFrame, names: tuple[str, str] = ("sparse", "dense")) -> DataFrame:
+    """``(targets, mean_<one>, mean_<two>, wins_<one>, wins_<two>, ties)`` of ``compare_scores``."""
+    count = lambda w: F.count_if(F.col("winner") == w)
+    return compared.agg(F.count(F.lit(1)).alias("targets"), *(F.avg(n).alias(f"mean_{n}") for n in names), *(count(n).alias(f"wins_{n}") for n in names), count("tie").alias("ties"))
+
+
 def silhouette(items: DataFrame, target: str, label: str) -> DataFrame:
     """``(target, silhouette)``: the mean over a target's items by Euclidean distance; a single item of a cluster counts 0."""
     one = items.select(target, F.col("vec_id").alias("i"), F.col(label).alias("li"), doubles(F.col("embedding")).alias("x"))

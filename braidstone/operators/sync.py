@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from braidstone.functions import version_vectors as VV
 from braidstone.functions.paths import depth
+from braidstone.operators.content import content_ids
+from braidstone.operators.text import offsets
 
 # The order in which operations may run: fixed values.
 PHASES = {"CONFLICT_SPLIT": 1, "MERGE_TEXT": 1, "DELETE_LOCAL": 2, "MKDIR_LOCAL": 3, "MOVE_LOCAL": 4, "PULL": 5, "MKDIR_REMOTE": 6, "MOVE_REMOTE": 6, "PUSH": 6, "DELETE_REMOTE": 6, "CONVERGE": 7, "NOOP": 8}
@@ -181,6 +183,62 @@ def reassemble(manifest: DataFrame, store: DataFrame) -> DataFrame:
     return met.select("file", F.when(F.col("lost") == 0, joined).alias("data"))
 
 
+def verified(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """``files(file, data)`` with ``intact``: whether the data has the id that ``contents(file, content_id)`` says."""
+    met = files.join(contents.select("file", "content_id"), "file", "left")
+    return met.withColumn("intact", F.coalesce(content_ids(F.col("data")) == F.col("content_id"), F.lit(False))).drop("content_id")
+
+
+def accepted_chunks(uploads: DataFrame, store: DataFrame) -> DataFrame:
+    """``(chunk, data)`` of ``uploads`` that the store takes: the data has the id it came under, one row for each new id."""
+    right = uploads.filter(content_ids(F.col("data").cast("binary")) == F.col("chunk")).dropDuplicates(["chunk"])
+    return right.join(store.select("chunk"), "chunk", "left_anti").select("chunk", "data")
+
+
+def complete_manifests(manifest: DataFrame, store: DataFrame) -> DataFrame:
+    """``(file, chunks, lacking, complete)``: a manifest may be put once the store has all its chunks."""
+    there = store.select("chunk").distinct().withColumn("has", F.lit(1))
+    return manifest.join(there, "chunk", "left").groupBy("file").agg(F.count(F.lit(1)).alias("chunks"), (F.count(F.lit(1)) - F.count("has")).alias("lacking")).withColumn("complete", F.col("lacking") == 0)
+
+
+def snapshot(log: DataFrame) -> DataFrame:
+    """The latest state of each path of ``log(path, seq, kind, ...)``."""
+    rest = [c for c in log.columns if c not in ("path", "seq")]
+    return log.groupBy("path").agg(F.max(F.struct("seq", *rest)).alias("e")).select("path", "e.*")
+
+
+def live_paths(log: DataFrame) -> DataFrame:
+    """``(path)``: the paths whose latest state is not a deletion, in order."""
+    return snapshot(log).filter("kind <> 'deleted'").select("path").orderBy("path")
+
+
+def feed_pages(log: DataFrame, cursor: int, limit: int = 1000) -> DataFrame:
+    """``change_feed`` page after page until one is not truncated: each row with its ``page`` and the cursor after it.
+
+    A page's cursor is saved after its rows, so a reader that stops in between reads the page again.
+    """
+    behind = snapshot(log).filter(F.col("seq") > cursor)
+    numbered = offsets(behind.withColumn("one", F.lit(1)), "seq", "one").withColumn("page", F.floor(F.col("offset") / limit).cast("long")).drop("one", "offset")
+    pages = numbered.groupBy("page").agg(F.max("seq").alias("cursor"))
+    last = pages.agg(F.max("page").alias("last"))
+    return numbered.join(pages, "page").join(F.broadcast(last)).withColumn("truncated", F.col("page") < F.col("last")).drop("last")
+
+
+def next_vectors(known: DataFrame, replica: str) -> DataFrame:
+    """``known(base_vv, remote_vv)`` with ``next_vv``, which dominates both and counts one more write of the replica."""
+    return known.withColumn("next_vv", VV.bump(VV.merge(VV.of(F.col("base_vv")), VV.of(F.col("remote_vv"))), F.lit(replica)))
+
+
+def commit_effects(results: DataFrame) -> DataFrame:
+    """``results(path, op_id, status)`` with what a client does: which tables take the entry, what the journal notes.
+
+    An accepted write goes to the remote mirror and the base, a rejected one leaves the server's entry in the mirror
+    only; both are done. A write that lacks content stays in the journal with one more attempt.
+    """
+    ok, lost = F.col("status").isin("ok", "replay"), F.col("status") == "missing"
+    return results.withColumns({"to_remote": ~lost, "to_base": ok, "journal": F.when(lost, "failed").otherwise("done"), "pass_again": F.col("status") == "conflict"})
+
+
 def converged(trees: DataFrame) -> DataFrame:
     """``(replicas, paths, same)``: whether all trees ``(replica, path, content_id)`` are alike."""
     n = trees.agg(F.countDistinct("replica").alias("replicas"))

@@ -161,11 +161,61 @@ def debounced_events(spark, d):
     return b.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "n", "rescan")
 
 
+def _contents(spark, d):
+    return docs(spark, d).select(F.col("doc_id").cast("string").alias("file"), F.col("text").cast("binary").alias("data"))
+
+
+def reassembled(spark, d):
+    """Each document cut into chunks, put together and verified; every 50th is said to have another id."""
+    files = _contents(spark, d)
+    rows = content.chunk_rows(files)
+    whole = sync.reassemble(rows.select("file", "pos", "chunk"), rows.select("chunk", "data").dropDuplicates(["chunk"]))
+    said = files.select("file", F.when(F.col("file").cast("long") % 50 == 0, "b2:0").otherwise(content.content_ids(F.col("data"))).alias("content_id"))
+    return sync.verified(whole, said).select("file", F.md5("data").alias("md5"), "intact")
+
+
+def complete_manifests(spark, d):
+    """Manifests of lines against a store that has the even documents' lines."""
+    n = _lines(spark, d).withColumn("file", F.col("doc_id"))
+    return sync.complete_manifests(n, n.filter("doc_id % 2 = 0"))
+
+
+def accepted_chunks(spark, d):
+    """Uploads of whole documents under their ids, every third under a wrong one; the store has those of ids under 100."""
+    up = _contents(spark, d).withColumn("chunk", F.when(F.col("file").cast("long") % 3 == 0, "b2:0").otherwise(content.content_ids(F.col("data"))))
+    return sync.accepted_chunks(up, up.filter("file < 100")).select(F.md5("data").alias("md5"))
+
+
+def live_paths(spark, d):
+    return sync.live_paths(_log(spark, d))
+
+
+def feed_pages(spark, d):
+    return sync.feed_pages(_log(spark, d), cursor=100, limit=7)
+
+
+def next_vectors(spark, d):
+    v = _vectors(spark, d).select("key", F.col("a").alias("base_vv"), F.when(F.col("key") % 4 > 0, F.col("b")).alias("remote_vv"))
+    return sync.next_vectors(v, "r1").select("key", VV.to_json(F.col("next_vv")).alias("next_vv"))
+
+
+def commit_effects(spark, d):
+    done = sync.commit_effects(cas_commit(spark, d))
+    return done.groupBy("status", "to_remote", "to_base", "journal", "pass_again").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_outcomes(spark, d):
+    t, line = docs(spark, d), F.col("text")
+    base = F.when(F.col("doc_id") % 7 > 0, line)
+    rows = t.select("doc_id", base.alias("base"), F.concat(F.lit("mine\n"), line).alias("mine"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("theirs\n"), F.substring(line, 2, 1 << 30))).otherwise(F.concat(line, F.lit(""))).alias("theirs"))
+    return content.merge_outcome(content.merge_rows(rows, "doc_id")).select("doc_id", "op")
+
+
 def result_counters(spark, d):
     return cas_commit(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
 
 
-QUERIES = {f.__name__: f for f in (vv_compare, vv_merge, reconcile_plan, reconcile_moves, plan_order, cas_commit, change_feed, min_cursor_gc, chunk_dedup, have_need, convergence_check, cdc_chunks, content_ids, op_ids, three_way_merge, path_safety, path_parts, conflict_names, text_sniff, debounced_events, result_counters)}
+QUERIES = {f.__name__: f for f in (vv_compare, vv_merge, reconcile_plan, reconcile_moves, plan_order, cas_commit, change_feed, min_cursor_gc, chunk_dedup, have_need, convergence_check, cdc_chunks, content_ids, op_ids, three_way_merge, path_safety, path_parts, conflict_names, text_sniff, debounced_events, result_counters, reassembled, complete_manifests, accepted_chunks, live_paths, feed_pages, next_vectors, commit_effects, merge_outcomes)}
 
 _VV = """n as (select user_id as key, 'r' || (event_id % 5) as r, count(*) filter (event_id % 2 = 0) as a, count(*) filter (event_id % 2 = 1 and not (user_id % 3 = 0 and event_id % 5 = 4)) as b from events group by 1, 2)"""
 _N = "n as (select doc_id, doc_id % 11 as k, coalesce(text, '') as text, md5(coalesce(text, '')) as cid, md5(coalesce(text, '') || '+l') as el, md5(coalesce(text, '') || '+r') as er, 'd' || (doc_id % 7) || '/f' || doc_id as folder, 'm' || (doc_id % 3) || '/sub/f' || doc_id as moved from documents)"
@@ -201,6 +251,13 @@ _PG = r"pg as (select page_id, regexp_replace(url, '^https?://', '') as path fro
 _RES = "con|prn|aux|nul|com[1-9]|lpt[1-9]"
 
 ORACLES = {
+    "reassembled": "select doc_id::varchar as file, md5(coalesce(text, '')) as md5, doc_id % 50 <> 0 as intact from documents where coalesce(text, '') <> ''",
+    "complete_manifests": f"with {_LINES}, s as (select distinct chunk, 1 as has from li where doc_id % 2 = 0) select doc_id as file, count(*)::bigint as chunks, (count(*) - count(has))::bigint as lacking, count(*) = count(has) as complete from li left join s using (chunk) group by 1",
+    "accepted_chunks": "with u as (select doc_id, md5(coalesce(text, '')) as md5 from documents where doc_id % 3 <> 0) select distinct md5 from u where md5 not in (select md5 from u where doc_id < 100)",
+    "live_paths": f"with {_REQ}, t as (select path, arg_max(kind, arrival) as kind from q group by path) select path from t where kind <> 'deleted'",
+    "feed_pages": f"with {_REQ}, t as (select path, max(arrival) as seq, arg_max(kind, arrival) as kind, arg_max(replica, arrival) as replica from q group by path), p as (select *, (row_number() over (order by seq) - 1) // 7 as page from t where seq > 100) select *, max(seq) over (partition by page) as cursor, page < max(page) over () as truncated from p",
+    "next_vectors": f"""with {_VV}, m as (select key, 'r' || x as r, greatest(coalesce(a, 0), case when key % 4 > 0 then coalesce(b, 0) else 0 end) + (x = 1)::int as v from (select distinct user_id as key from events) cross join range(0, 5) t(x) left join n on n.key = events.key and n.r = 'r' || x) select key, '{{' || string_agg('"' || r || '":' || v, ',' order by r) filter (v > 0) || '}}' as next_vv from m group by key""".replace("(select distinct user_id as key from events) cross", "(select distinct user_id as key from events) k cross").replace("n.key = events.key", "n.key = k.key").replace("select key, 'r' || x", "select k.key, 'r' || x").replace("case when key % 4", "case when k.key % 4"),
+    "commit_effects": f"with recursive {_CAS} select status, status <> 'missing' as to_remote, status in ('ok', 'replay') as to_base, case when status = 'missing' then 'failed' else 'done' end as journal, status = 'conflict' as pass_again, count(*)::bigint as n from res group by 1, 2, 3, 4, 5",
     "vv_compare": f"with {_VV} select key, case when up and down then 'same' when up then 'newer' when down then 'older' else 'concurrent' end as relation, case when down then case when up then 'same' else 'newer' end when up then 'same' else 'newer' end as merged_to_a from (select key, bool_and(a >= b) as up, bool_and(b >= a) as down from n group by key)",
     "vv_merge": f"""with {_VV} select key, '{{' || string_agg('"' || r || '":' || greatest(a, b), ',' order by r) filter (greatest(a, b) > 0) || '}}' as merged, '{{' || string_agg('"' || r || '":' || (a + (r = 'r0')::int), ',' order by r) filter (a + (r = 'r0')::int > 0) || '}}' as bumped from (select key, 'r' || x as r, coalesce(a, 0) as a, coalesce(b, 0) as b from (select distinct user_id as key from events) cross join range(0, 5) t(x) left join n using (key) where n.r = 'r' || x or n.r is null) group by key""",
     "reconcile_plan": f"with {_PLAN} select path, op from plan",

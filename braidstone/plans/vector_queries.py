@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidstone.functions.vectors import doubles, norm
+from braidstone.functions.vectors import doubles, layer_norm, linear, norm, relu
 from braidstone.operators import chars, embeddings
 from braidstone.plans.text_queries import r6
 
@@ -85,19 +85,63 @@ def causal_attention(spark, d):
     return r6(chars.causal_attention(rows, "seq", "pos", "embedding").withColumn("dim", F.col("dim").cast("long")), "value")
 
 
+def multi_head_attention(spark, d):
+    rows = vectors(spark, d).withColumns({"seq": F.floor(F.col("vec_id") / SEQUENCE), "pos": F.col("vec_id") % SEQUENCE})
+    return r6(chars.multi_head_attention(rows, "seq", "pos", "embedding", 4).withColumn("dim", F.col("dim").cast("long")), "value")
+
+
+def feed_forward(spark, d):
+    """Layer norm, then the first two numbers of a widening linear map, then ReLU."""
+    weights = [[((i * 7 + j) % 5 - 2) / 10 for j in range(64)] for i in range(2)]
+    normed = vectors(spark, d).select("vec_id", layer_norm(doubles(F.col("embedding"))).alias("z"))
+    out = normed.select("vec_id", relu(linear(F.col("z"), weights, [0.1, -0.1])).alias("o"))
+    return r6(out.select("vec_id", F.col("o")[0].alias("x"), F.col("o")[1].alias("y")), "x", "y")
+
+
+def target_cross_entropy(spark, d):
+    logits = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", "event_type").agg((F.avg("value") / 10).alias("logit"))
+    return r6(chars.target_cross_entropy(logits, "user_id", "logit", F.col("event_type") == "click"), "loss")
+
+
+def _compared(spark, d):
+    rows = items(spark, d).withColumn("other", F.floor(F.col("vec_id") * 3 % 50 / 10))
+    return embeddings.compare_scores(embeddings.paired_fscore(rows, "target", "guess", "label"), embeddings.paired_fscore(rows, "target", "other", "label"), "target")
+
+
+def score_comparison(spark, d):
+    return r6(_compared(spark, d), "sparse", "dense")
+
+
+def score_summary(spark, d):
+    return r6(embeddings.score_summary(_compared(spark, d)), "mean_sparse", "mean_dense")
+
+
 def temperature_softmax(spark, d):
     logits = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", "event_type").agg((F.avg("value") / 10).alias("logit"))
     return r6(chars.softmax(logits, "user_id", "logit", 0.8), "logit", "p")
 
 
-QUERIES = {f.__name__: f for f in (vector_norms, knn_top10, analogy_top5, centroids, bias_scores, pair_scores, kendall_tau, silhouette, paired_fscore, kmeans_gold_k, kmeans_auto_k, causal_attention, temperature_softmax)}
+QUERIES = {f.__name__: f for f in (vector_norms, knn_top10, analogy_top5, centroids, bias_scores, pair_scores, kendall_tau, silhouette, paired_fscore, kmeans_gold_k, kmeans_auto_k, causal_attention, temperature_softmax, multi_head_attention, feed_forward, target_cross_entropy, score_comparison, score_summary)}
 
 _V = "v as (select vec_id, embedding::double[] as e, label from embeddings)"
 _ITEMS = f"{_V}, it as (select *, vec_id // 50 as target, (vec_id * 7 % 50) // 10 as guess from v)"
 _PAIRS = f"{_V}, ps as (select x.vec_id as w1, y.vec_id as w2, (x.vec_id * 37 % 101)::double as human, list_cosine_similarity(x.e, y.e) as score from v x join v y on y.vec_id = x.vec_id + 1)"
 _CENT = "ce as (select label, list(m order by pos) as c from (select label, pos, avg(x) as m from (select label, unnest(e) as x, unnest(range(0, len(e))) as pos from v) group by 1, 2) group by label)"
 
+
+
+def _fscore(guess: str) -> str:
+    return f"(select target, case when tp > 0 then 2 * (tp / pp) * (tp / gp) / (tp / pp + tp / gp) else 0 end as f from (select x.target, count(*) filter (x.{guess} = y.{guess} and x.label = y.label) as tp, count(*) filter (x.{guess} = y.{guess}) as pp, count(*) filter (x.label = y.label) as gp from it2 x join it2 y on x.target = y.target and x.vec_id < y.vec_id group by 1))"
+
+
+_COMPARED = f"{_ITEMS}, it2 as (select *, (vec_id * 3 % 50) // 10 as other from it), cmp as (select a.target, a.f as sparse, b.f as dense, case when a.f > b.f then 'sparse' when b.f > a.f then 'dense' else 'tie' end as winner from {_fscore('guess')} a join {_fscore('other')} b using (target))"
+
 ORACLES = {
+    "multi_head_attention": f"with {_V}, r as (select (vec_id // 8) as seq, vec_id % 8 as pos, h, e[16 * h + 1 : 16 * h + 16] as e from v, range(0, 4) t(h)), s as (select q.seq, q.pos, q.h, k.e, list_inner_product(q.e, k.e) / 4.0 as s from r q join r k on q.seq = k.seq and q.h = k.h and k.pos <= q.pos), x as (select *, exp(s - max(s) over (partition by seq, pos, h)) as ex from s), w as (select seq, pos, h, e, ex / sum(ex) over (partition by seq, pos, h) as w from x) select seq, pos, (16 * h + i)::bigint as dim, round(sum(w * x), 6) as value from (select seq, pos, h, w, unnest(e) as x, unnest(range(0, 16)) as i from w) group by 1, 2, 3",
+    "feed_forward": f"with {_V}, m as (select vec_id, e, list_avg(e) as mu from v), n as (select vec_id, list_transform(e, lambda x: (x - mu) / sqrt(list_avg(list_transform(e, lambda y: (y - mu) * (y - mu))) + 1e-5)) as z from m) select vec_id, round(greatest(0.0, list_sum(list_transform(range(1, 65), lambda j: z[j] * ((j - 1) % 5 - 2) / 10)) + 0.1), 6) as x, round(greatest(0.0, list_sum(list_transform(range(1, 65), lambda j: z[j] * ((7 + j - 1) % 5 - 2) / 10)) - 0.1), 6) as y from n",
+    "target_cross_entropy": "with l as (select user_id, event_type, avg(value) / 10 as logit from events group by 1, 2), g as (select ln(sum(exp(logit))) - max(logit) filter (event_type = 'click') as loss from l group by user_id) select count(*)::bigint as rows, round(avg(loss), 6) as loss from g where loss is not null",
+    "score_comparison": f"with {_COMPARED} select target, round(sparse, 6) as sparse, round(dense, 6) as dense, winner from cmp",
+    "score_summary": f"with {_COMPARED} select count(*)::bigint as targets, round(avg(sparse), 6) as mean_sparse, round(avg(dense), 6) as mean_dense, count(*) filter (winner = 'sparse') as wins_sparse, count(*) filter (winner = 'dense') as wins_dense, count(*) filter (winner = 'tie') as ties from cmp",
     "vector_norms": f"with {_V} select vec_id, round(sqrt(list_inner_product(e, e)), 6) as norm from v",
     "knn_top10": f"with {_V}, s as (select q.vec_id as query_id, v.vec_id, list_cosine_similarity(q.e, v.e) as sim from v q join v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0) select query_id, vec_id, round(sim, 6) as sim, rank from (select *, row_number() over (partition by query_id order by round(sim, 6) desc, vec_id) as rank from s) where rank <= 10",
     "analogy_top5": f"with {_V}, g as (select unnest(range(0, 6)) as analogy), t as (select g.analogy, a.vec_id as a, s.vec_id as a_star, b.vec_id as b, list_transform(range(1, 65), lambda i: b.e[i] - a.e[i] + s.e[i]) as t from g join v a on a.vec_id = 3 * analogy join v s on s.vec_id = 3 * analogy + 1 join v b on b.vec_id = 3 * analogy + 2), s as (select analogy, vec_id, list_cosine_similarity(e, t) as sim from t join v on vec_id not in (a, a_star, b)) select analogy, vec_id, round(sim, 6) as sim, rank from (select *, row_number() over (partition by analogy order by round(sim, 6) desc, vec_id) as rank from s) where rank <= 5",

@@ -243,5 +243,52 @@ def test_similar_words_ask_for_every_20th(spark):
 
     d = "/root/testdata/sf0.001"
     want = {r.word for r in text_queries.word_count_min50(spark, d).filter("idx % 20 = 0").collect()}
-    got = text_queries.similar_words_ppmi_every_20th(spark, d).toPandas()
+    got = text_queries.similar_words_ppmi(spark, d).toPandas()
     assert want and set(got["word"]) == want and (got.groupby("word").size() == 10).all()
+
+
+def test_merge_ranges_and_outcomes(spark):
+    lines = lambda s: "".join(f"{x}\n" for x in s).encode()
+    base = lines("abcdef")
+    merged, clean, regions = content.merge_text(base, lines("af"), lines("abf"))  # both delete, over different ranges
+    assert clean and regions == 0 and merged == lines("af")
+    rows = [(1, base, lines("Xabcdef"), lines("abcdefY")), (2, base, lines("abXdef"), lines("abYdef")), (3, None, base, base), (4, base, b"\0", base)]
+    got = content.merge_rows(spark.createDataFrame(rows, "id long, base binary, mine binary, theirs binary"), "id")
+    assert {r.id: r.op for r in content.merge_outcome(got).collect()} == {1: "MERGED", 2: "CONFLICT_SPLIT", 3: "CONFLICT_SPLIT", 4: "CONFLICT_SPLIT"}
+    assert {r.id: r.op for r in content.merge_outcome(got, markers=True).collect()}[2] == "MERGED"
+
+
+def test_chunks_are_verified(spark):
+    data = [("a", b"one" * 9000), ("b", b""), ("c", None)]
+    files = spark.createDataFrame(data, "file string, data binary")
+    ids = spark.createDataFrame([("a", content.content_id(data[0][1])), ("b", "b2:other")], "file string, content_id string")
+    assert {r.file: r.intact for r in sync.verified(files, ids).collect()} == {"a": True, "b": False, "c": False}
+    up = spark.createDataFrame([(content.content_id(b"x"), b"x"), (content.content_id(b"x"), b"x"), (content.content_id(b"y"), b"x"), (content.content_id(b"z"), b"z")], "chunk string, data binary")
+    assert [bytes(r.data) for r in sync.accepted_chunks(up, up.filter(F.col("data") == b"z")).collect()] == [b"x"]
+    assert sync.accepted_chunks(up, up.limit(0)).count() == 2 and sync.live_paths(spark.createDataFrame([], "path string, seq long, kind string")).count() == 0
+
+
+def test_cooccurrence_across_documents(spark, monkeypatch):
+    """Counted inside documents and across them as in the stream, whatever size the vocabulary has."""
+    texts = ["the cat sat", "", None, "on", "the mat the cat", "a b c d e f g the", "sat"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    words = [w for t in texts for w in (t or "").split()]
+    known = {"the", "cat", "sat", "on", "mat", "g"}
+    vocab = spark.createDataFrame([(w,) for w in known], "word string")
+    want = {}
+    for i, w in enumerate(words):
+        for j, c in enumerate(words):
+            if 0 < abs(i - j) <= 3 and w in known and c in known:
+                want[w, c, abs(i - j)] = want.get((w, c, abs(i - j)), 0) + 1
+    for most in (200_000, 2):
+        monkeypatch.setattr(text, "SENT_WORDS", most)
+        assert {(r.w, r.c, r.d): r.n for r in text.document_cooccurrence(text.placed_arrays(df), vocab, 3).collect()} == want
+
+
+def test_paths_checked(spark):
+    df = spark.createDataFrame([("a/b",), ("1:/x",), (".replica/t",), (".own/t",)], "p string")
+    assert [r[0] for r in df.select(paths.is_safe(F.col("p"))).collect()] == [True, False, False, True]
+    assert [r[0] for r in df.select(paths.is_safe(F.col("p"), ".own")).collect()] == [True, False, True, False]
+    with pytest.raises(Exception, match="unsafe path"):
+        df.select(paths.check_safe(F.col("p"))).collect()
+    assert spark.range(1).select(paths.short_id(F.lit("b2:0123456789ab"))).first()[0] == "01234567"
