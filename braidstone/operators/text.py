@@ -38,9 +38,15 @@ def offsets(rows: DataFrame, order: str, size: str) -> DataFrame:
     return rows.withColumn("block", block).withColumn("inside", inside).join(before, "block").withColumn("offset", (F.col("inside") + F.col("before")).cast("long")).drop("block", "inside", "before")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where their files make fewer partitions than there are cores; as they are otherwise."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def placed_arrays(docs: DataFrame) -> DataFrame:
     """``(doc_id, words, offset)``, stored: ``offset`` tokens of the stream of all documents by doc_id come before."""
-    arrays = stage(token_arrays(docs).select("doc_id", "words", F.size("words").cast("long").alias("size")), "words")
+    arrays = stage(token_arrays(spread(docs.select("doc_id", "text"))).select("doc_id", "words", F.size("words").cast("long").alias("size")), "words")
     at = offsets(arrays.select("doc_id", "size"), "doc_id", "size").select("doc_id", "offset")
     return arrays.drop("size").join(sized(at, arrays.count()), "doc_id")
 
@@ -134,7 +140,8 @@ def tfidf(td: DataFrame, documents: int) -> DataFrame:
 
 
 def ppmi(counts: DataFrame) -> DataFrame:
-    """``(w, c, n, ppmi)``: log2(n T / (row column)), at least 0."""
+    """``(w, c, n, ppmi)``: log2(n T / (row column)), at least 0. The counts are stored, as four sums read them."""
+    counts = stage(counts, "counts")
     rows = counts.groupBy("w").agg(F.sum("n").alias("rw"))
     columns = counts.groupBy("c").agg(F.sum("n").alias("rc"))
     total = counts.agg(F.sum("n").alias("t"))
