@@ -19,6 +19,11 @@ def is_empty(m: Column) -> Column:
     return F.size(m) == 0
 
 
+def replicas(m: Column) -> Column:
+    """The replicas that count, sorted."""
+    return F.sort_array(F.map_keys(of(m)))
+
+
 def bump(m: Column, replica: Column) -> Column:
     one = F.create_map(replica, F.lit(1).cast("bigint"))
     return F.map_zip_with(m, one, lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
@@ -34,6 +39,16 @@ def descends_from(a: Column, b: Column) -> Column:
     return F.forall(F.map_entries(b), lambda e: get(a, e["key"]) >= e["value"])
 
 
+def dominates(a: Column, b: Column) -> Column:
+    """Descends from b and is not the same."""
+    return descends_from(a, b) & ~descends_from(b, a)
+
+
+def concurrent_with(a: Column, b: Column) -> Column:
+    """Neither descends from the other."""
+    return ~descends_from(a, b) & ~descends_from(b, a)
+
+
 def compare(a: Column, b: Column) -> Column:
     """``same``, ``newer``, ``older`` or ``concurrent``."""
     up, down = descends_from(a, b), descends_from(b, a)

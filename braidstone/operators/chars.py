@@ -70,6 +70,26 @@ def blocks(docs: DataFrame, length: int = 64, stride: int | None = None) -> Data
     return kept.select("start", F.substring("w", 1, length).alias("x"), F.substring("w", 2, length).alias("y"))
 
 
+def random_blocks(docs: DataFrame, length: int = 64, batch: int = 32, seed: int = 0) -> DataFrame:
+    """``(draw, start, x, y)``: ``batch`` windows of the stream at random starts, and the same ones one further on.
+
+    A draw's start depends on its number and the seed only. All starts, a few thousand at most, meet each document as
+    one array, and only the parts that a window takes of a text leave its row.
+    """
+    at = placed(docs).filter("size > 0")
+    total = at.agg(F.sum("size").alias("total"))
+    starts = docs.sparkSession.range(batch).withColumnRenamed("id", "draw").join(F.broadcast(total)).filter(F.col("total") > length + 1)
+    starts = starts.select("draw", F.pmod(F.xxhash64("draw", F.lit(seed)), F.col("total") - length - 1).alias("start"))
+    every = starts.agg(F.collect_list(F.struct("draw", "start")).alias("starts"))
+    here = lambda s: (s["start"] < F.col("offset") + F.col("size")) & (s["start"] + length + 1 > F.col("offset"))
+    drawn = at.join(F.broadcast(every)).select("offset", "size", "text", F.explode(F.filter("starts", here)).alias("s")).select("offset", "size", "text", "s.*")
+    lo = F.greatest(F.col("start") - F.col("offset"), F.lit(0))
+    hi = F.least(F.col("start") + length + 1 - F.col("offset"), F.col("size"))
+    parts = drawn.select("draw", "start", "offset", F.substring(F.col("text"), (lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+    whole = parts.groupBy("draw", "start").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "part"))), lambda s: s["part"]), "").alias("w"))
+    return whole.select("draw", "start", F.substring("w", 1, length).alias("x"), F.substring("w", 2, length).alias("y"))
+
+
 def causal_attention(rows: DataFrame, seq: str, pos: str, vec: str) -> DataFrame:
     """``(seq, pos, dim, value)``: softmax(q k / sqrt(d)) over places up to one's own, applied to the vectors."""
     q = rows.select(F.col(seq).alias("seq"), F.col(pos).alias("qpos"), doubles(F.col(vec)).alias("q"))
