@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidstone.functions.ranks import placed
 from braidstone.functions.staging import stage
 from braidstone.functions.vectors import add, cosine, doubles, subtract
+from braidstone.operators import text
 
 #: Rows and queries of one block of a search.
 BLOCK = 4096
@@ -88,16 +90,26 @@ def pair_scores(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(a, "w1").join(b, "w2").select("w1", "w2", "human", cosine(F.col("x"), F.col("y")).alias("score"))
 
 
-def _placed(rows: DataFrame, by: list[str], name: str, parts: int) -> DataFrame:
-    """``rows`` with their place in the order of ``by`` as ``name``: places within ranges, after the counts of the ranges before."""
-    dealt = stage(rows.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()), f"{name}-ranges")
-    offsets, before = [], 0
-    for part, n in sorted(map(tuple, dealt.groupBy("part").count().collect())):
-        offsets.append((part, before))
-        before += n
-    table = rows.sparkSession.createDataFrame(offsets, "part int, before long")
-    place = F.row_number().over(Window.partitionBy("part").orderBy(*by)) - 1 + F.col("before")
-    return stage(dealt.join(F.broadcast(table), "part").select(*rows.columns, place.cast("long").alias(name)), name)
+def similarity_scores(pairs: DataFrame, method: str, rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``pairs`` scored by a method: ``dense`` over ``rows(vec_id, embedding)``, ``ppmi`` over cells ``rows(w, c, ppmi)`` of the words ``names``."""
+    if method == "dense":
+        return pair_scores(pairs, rows)
+    if method == "ppmi":
+        return text.sparse_pair_scores(pairs, rows, "ppmi", names)
+    raise ValueError(f"unknown method: {method}")
+
+
+def checked_answers(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """``(analogy, answer, expected, correct)`` of ``found(analogy, answer, rank)``: the first answers, whatever the case of letters; ``N/A`` for none."""
+    first = found.filter("rank = 1").select("analogy", "answer")
+    return expected.join(first, "analogy", "left").select("analogy", F.coalesce("answer", F.lit("N/A")).alias("answer"), "expected").withColumn("correct", F.lower("answer") == F.lower("expected"))
+
+
+def sparse_vectors(names: DataFrame, cells: DataFrame, size: int) -> DataFrame:
+    """``(name, vec)`` of ``cells(name, dim, value)``, zeros in the other of ``size`` places; zeros alone for a name without cells."""
+    held = cells.groupBy("name", F.col("dim").cast("int").alias("dim")).agg(F.sum(F.col("value").cast("double")).alias("value")).groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("held"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0.0)))
+    return names.join(held, "name", "left").select("name", vec.alias("vec"))
 
 
 def _inversions(a: np.ndarray) -> int:
@@ -157,8 +169,8 @@ def kendall_tau_b(scores: DataFrame, x: str, y: str, order: str, max_pairs: int
         if both > one and both > two:
             parts = max(1, -(-n // BLOCK))
             # equal values of y take the order of p, so that neither ties of x nor ties of y count as discordant
-            p = _placed(rows, ["x", "y", "o"], "p", parts)
-            d = _discordant(_placed(p.select("y", "p"), ["y", "p"], "q", parts), n)
+            p = placed(rows, ["x", "y", "o"], "p", parts)
+            d = _discordant(placed(p.select("y", "p"), ["y", "p"], "q", parts), n)
             tau = (both - one - two + ties("x", "y") - 2 * d) / math.sqrt(float(both - one) * float(both - two))
     return spark.createDataFrame([(tau,)], "tau double")
 

@@ -271,3 +271,14 @@ def debounce(events: DataFrame, key: str, ts: str, gap_seconds: float, capacity:
     burst = events.withColumn("new", new).withColumn("burst", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = burst.groupBy(key, "burst").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n"))
     return out.select(key, "start", "end", "n", (F.col("n") >= capacity).alias("rescan"))
+
+
+def link_counters(log: DataFrame) -> DataFrame:
+    """``(replica, requests, failures, retries, bytes_up, bytes_down)`` of ``log(replica, kind, outcome, bytes)``.
+
+    Outcomes are ok, lost and offline; a lost request of an upload (kind ``up``) is tried again. Bytes count where they
+    have arrived.
+    """
+    lost, ok = F.col("outcome") == "lost", F.col("outcome") == "ok"
+    arrived = lambda kind: F.sum(F.when(ok & (F.col("kind") == kind), F.col("bytes")).otherwise(0))
+    return log.groupBy("replica").agg(F.count(F.lit(1)).alias("requests"), F.count_if(lost).alias("failures"), F.count_if(lost & (F.col("kind") == "up")).alias("retries"), arrived("up").alias("bytes_up"), arrived("down").alias("bytes_down"))

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidstone.functions.ranks import placed
 from braidstone.functions.staging import sized, stage
 
 MIN_COUNT = 50
@@ -62,8 +63,8 @@ def vocabulary(words: DataFrame, least: int = MIN_COUNT) -> DataFrame:
 
 
 def indexed(vocab: DataFrame) -> DataFrame:
-    """``vocab`` with ``idx``, a word's rank in order. The vocabulary is what is left of the corpus after the count filter."""
-    return vocab.withColumn("idx", (F.row_number().over(Window.orderBy("word")) - 1).cast("long"))
+    """``vocab``, stored, with ``idx``, a word's rank in order."""
+    return placed(stage(vocab, "vocabulary"), ["word"], "idx", int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def term_document(docs: DataFrame, unit: str = "source", least: int = MIN_COUNT) -> DataFrame:
@@ -162,6 +163,23 @@ def sparse_cosine(cells: DataFrame, key: str, dim: str, value: str, targets: Dat
     return pairs.join(na, "a").join(nb, "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("sim"))
 
 
+def sparse_pair_scores(pairs: DataFrame, cells: DataFrame, value: str, names: DataFrame) -> DataFrame:
+    """``pairs(w1, w2, human)`` with the cosine of their rows of ``cells(w, c, <value>)``; rows without a common column score 0.
+
+    Pairs with a word that is not among ``names(word)`` go.
+    """
+    known = lambda side: names.select(F.col("word").alias(side))
+    said = pairs.join(known("w1"), "w1", "left_semi").join(known("w2"), "w2", "left_semi")
+    v = cells.select("w", "c", F.col(value).cast("double").alias("v")).filter("v <> 0")
+    norms = v.groupBy("w").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    one, two = (v.select(F.col("w").alias(f"w{i}"), "c", F.col("v").alias(f"v{i}")) for i in (1, 2))
+    dots = said.select("w1", "w2").distinct().join(one, "w1").join(two, ["w2", "c"]).groupBy("w1", "w2").agg(F.sum(F.col("v1") * F.col("v2")).alias("dot"))
+    out = said.join(dots, ["w1", "w2"], "left")
+    for i in (1, 2):
+        out = out.join(norms.select(F.col("w").alias(f"w{i}"), F.col("norm").alias(f"n{i}")), f"w{i}", "left")
+    return out.select("w1", "w2", "human", F.coalesce(F.col("dot") / (F.col("n1") * F.col("n2")), F.lit(0.0)).alias("score"))
+
+
 def top(rows: DataFrame, group: str, by: str, name: str, k: int | None = None) -> DataFrame:
     """The k rows (None: all) of each group with the largest ``by`` (rounded to 6 places, ties by ``name``), with ``rank``."""
     w = Window.partitionBy(group).orderBy(F.round(by, 6).desc(), name)

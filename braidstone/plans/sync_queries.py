@@ -215,7 +215,14 @@ def result_counters(spark, d):
     return cas_commit(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
 
 
-QUERIES = {f.__name__: f for f in (vv_compare, vv_merge, reconcile_plan, reconcile_moves, plan_order, cas_commit, change_feed, min_cursor_gc, chunk_dedup, have_need, convergence_check, cdc_chunks, content_ids, op_ids, three_way_merge, path_safety, path_parts, conflict_names, text_sniff, debounced_events, result_counters, reassembled, complete_manifests, accepted_chunks, live_paths, feed_pages, next_vectors, commit_effects, merge_outcomes)}
+def link_counters(spark, d):
+    i = F.col("event_id")
+    kind = F.when(i % 3 == 0, "up").when(i % 3 == 1, "down").otherwise("commit")
+    outcome = F.when(i % 7 == 0, "lost").when(i % 11 == 0, "offline").otherwise("ok")
+    return sync.link_counters(events(spark, d).select((F.col("user_id") % 5).alias("replica"), kind.alias("kind"), outcome.alias("outcome"), (i % 1000).alias("bytes")))
+
+
+QUERIES = {f.__name__: f for f in (link_counters, vv_compare, vv_merge, reconcile_plan, reconcile_moves, plan_order, cas_commit, change_feed, min_cursor_gc, chunk_dedup, have_need, convergence_check, cdc_chunks, content_ids, op_ids, three_way_merge, path_safety, path_parts, conflict_names, text_sniff, debounced_events, result_counters, reassembled, complete_manifests, accepted_chunks, live_paths, feed_pages, next_vectors, commit_effects, merge_outcomes)}
 
 _VV = """n as (select user_id as key, 'r' || (event_id % 5) as r, count(*) filter (event_id % 2 = 0) as a, count(*) filter (event_id % 2 = 1 and not (user_id % 3 = 0 and event_id % 5 = 4)) as b from events group by 1, 2)"""
 _N = "n as (select doc_id, doc_id % 11 as k, coalesce(text, '') as text, md5(coalesce(text, '')) as cid, md5(coalesce(text, '') || '+l') as el, md5(coalesce(text, '') || '+r') as er, 'd' || (doc_id % 7) || '/f' || doc_id as folder, 'm' || (doc_id % 3) || '/sub/f' || doc_id as moved from documents)"
@@ -275,4 +282,5 @@ ORACLES = {
     "text_sniff": "select doc_id, case when doc_id % 3 = 0 then strlen(coalesce(text, '')) >= 8192 when doc_id % 3 = 1 then false else true end as is_text from documents where strlen(coalesce(text, '')) < 8192 or doc_id % 3 = 1 union all select doc_id, try(decode(encode(coalesce(text, ''))[1:8192])) is not null from documents where strlen(coalesce(text, '')) >= 8192 and doc_id % 3 <> 1",
     "debounced_events": "with g as (select user_id, event_id, ts, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) < 3600000000 then 0 else 1 end as new from events), b as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as burst from g) select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts)) as end_us, count(*)::bigint as n, count(*) >= 5 as rescan from b group by user_id, burst",
     "result_counters": f"with recursive {_CAS} select status, count(*)::bigint as n, max(seq) as last_seq from res group by status",
+    "link_counters": "select user_id % 5 as replica, count(*)::bigint as requests, count(*) filter (event_id % 7 = 0) as failures, count(*) filter (event_id % 21 = 0) as retries, coalesce(sum(event_id % 1000) filter (event_id % 3 = 0 and event_id % 7 > 0 and event_id % 11 > 0), 0)::bigint as bytes_up, coalesce(sum(event_id % 1000) filter (event_id % 3 = 1 and event_id % 7 > 0 and event_id % 11 > 0), 0)::bigint as bytes_down from events group by 1",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidstone.functions.staging import stage
-from braidstone.operators import chars, text
+from braidstone.operators import chars, embeddings, text
 
 WINDOWS = (1, 2, 5, 10)
 
@@ -99,6 +99,15 @@ def similar_words_ppmi(spark, d):
     return _similar(spark, d, "ppmi")
 
 
+def pair_scores_ppmi(spark, d):
+    """Each word of the vocabulary with the next one."""
+    words = text.indexed(text.vocabulary(text.tokens(docs(spark, d))))
+    cells = stage(text.ppmi(cooccurrence_w2(spark, d)), "cells")
+    after = words.select((F.col("idx") - 1).alias("idx"), F.col("word").alias("w2"))
+    pairs = words.select("idx", F.col("word").alias("w1")).join(after, "idx").select("w1", "w2", (F.col("idx") * 37 % 101).cast("double").alias("human"))
+    return r6(embeddings.similarity_scores(pairs, "ppmi", cells, words), "score")
+
+
 def rank_ends(spark, d):
     """The five most and three least similar units of each."""
     return text.ends(document_rank(spark, d), "a", 5, 3)
@@ -137,7 +146,7 @@ def uniform_cross_entropy(spark, d):
     return r6(chars.cross_entropy(chars.char_counts(docs(spark, d))), "uniform", "unigram")
 
 
-QUERIES = {f.__name__: f for f in (word_count_min50, term_document, doc_frequency, td_sparsity, document_similarity, document_rank, tfidf, top_terms_raw, top_terms_tfidf, cooccurrence_w2, cooccurrence_sweep, ppmi, similar_words_raw, similar_words_ppmi, rank_ends, group_pair_similarity, char_vocab, char_encode, char_decode, train_val_split, char_blocks, uniform_cross_entropy)}
+QUERIES = {f.__name__: f for f in (word_count_min50, term_document, doc_frequency, td_sparsity, document_similarity, document_rank, tfidf, top_terms_raw, top_terms_tfidf, cooccurrence_w2, cooccurrence_sweep, ppmi, similar_words_raw, similar_words_ppmi, pair_scores_ppmi, rank_ends, group_pair_similarity, char_vocab, char_encode, char_decode, train_val_split, char_blocks, uniform_cross_entropy)}
 
 _TOK = rf"""tok as (select doc_id, source, lang, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from (
   select doc_id, source, lang, list_filter(string_split_regex(lower(coalesce(text, '')), '{text.BLANKS}'), lambda x: x <> '') as w from documents))"""
@@ -185,6 +194,7 @@ ORACLES = {
     "cooccurrence_w2": f"with {_cooc(2)} select w, c, count(*)::bigint as n from co group by 1, 2",
     "cooccurrence_sweep": f"with {_cooc(10)} select win::integer as window, w, c, count(*)::bigint as n from co join (select unnest([1, 2, 5, 10]) as win) s on d <= win group by 1, 2, 3",
     "ppmi": f"with {_PPMI} select w, c, n, round(ppmi, 6) as ppmi from pp",
+    "pair_scores_ppmi": f"with {_PPMI}, nv as (select word, row_number() over (order by word) - 1 as idx from voc), pr as (select x.word as w1, y.word as w2, (x.idx * 37 % 101)::double as human from nv x join nv y on y.idx = x.idx + 1), nm as (select w, sqrt(sum(ppmi * ppmi)) as norm from pp group by w), ds as (select w1, w2, sum(p.ppmi * q.ppmi) as dot from pr join pp p on p.w = w1 join pp q on q.w = w2 and q.c = p.c group by 1, 2) select w1, w2, human, round(coalesce(dot / nullif(x.norm * y.norm, 0), 0), 6) as score from pr left join ds using (w1, w2) left join nm x on x.w = w1 left join nm y on y.w = w2",
     "similar_words_raw": _similar_sql("n"),
     "similar_words_ppmi": _similar_sql("ppmi"),
     "rank_ends": f"with {_TDSIM}, bo as (select a, b, sim from sims union all select b, a, sim from sims), r as (select a, b, round(sim, 6) as sim, row_number() over (partition by a order by round(sim, 6) desc, b) as rank from bo) select * from r qualify rank <= 5 or rank > max(rank) over (partition by a) - 3",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidstone.functions.staging import stage
 from braidstone.functions.vectors import doubles, layer_norm, linear, norm, relu
 from braidstone.operators import chars, embeddings
 from braidstone.plans.text_queries import r6
@@ -36,6 +37,14 @@ def analogy_top5(spark, d):
     return r6(embeddings.analogies(vectors(spark, d), asked), "sim")
 
 
+def answer_check(spark, d):
+    """Odd analogies expect the second answer; one analogy asks for a vector that is not there."""
+    asked = spark.createDataFrame([*ANALOGIES, (6, -1, 1, 2)], "analogy long, a long, a_star long, b long")
+    found = stage(embeddings.analogies(vectors(spark, d), asked).select("analogy", F.concat(F.lit("Vec"), "vec_id").alias("answer"), "rank"), "answers")
+    expected = found.filter(F.col("rank") == 1 + F.col("analogy") % 2).select("analogy", F.upper("answer").alias("expected"))
+    return embeddings.checked_answers(found, expected.unionByName(spark.createDataFrame([(6, "none")], "analogy long, expected string")))
+
+
 def centroids(spark, d):
     return r6(embeddings.centroids(vectors(spark, d)).withColumn("pos", F.col("pos").cast("long")), "mean")
 
@@ -76,6 +85,22 @@ def kmeans_gold_k(spark, d):
     return r6(_scored(embeddings.kmeans(items(spark, d), "target"), spark, d), "precision", "recall", "fscore")
 
 
+def _sparse(spark, d):
+    """Large components as cells; every seventh vector has none."""
+    v = vectors(spark, d)
+    cells = v.filter("vec_id % 7 > 0").select(F.col("vec_id").alias("name"), F.posexplode(doubles(F.col("embedding"))).alias("dim", "value")).filter("value > 0.1")
+    return embeddings.sparse_vectors(v.select(F.col("vec_id").alias("name")), cells, 64).select(F.col("name").alias("vec_id"), F.col("vec").alias("embedding"))
+
+
+def sparse_vectors(spark, d):
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return r6(_sparse(spark, d).select("vec_id", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("nnz"), total.alias("total")), "total")
+
+
+def kmeans_sparse(spark, d):
+    return r6(_scored(embeddings.kmeans(items(spark, d).drop("embedding").join(_sparse(spark, d), "vec_id"), "target"), spark, d), "precision", "recall", "fscore")
+
+
 def kmeans_auto_k(spark, d):
     return r6(_scored(embeddings.kmeans(items(spark, d), "target", auto=True), spark, d), "precision", "recall", "fscore")
 
@@ -121,7 +146,7 @@ def temperature_softmax(spark, d):
     return r6(chars.softmax(logits, "user_id", "logit", 0.8), "logit", "p")
 
 
-QUERIES = {f.__name__: f for f in (vector_norms, knn_top10, analogy_top5, centroids, bias_scores, pair_scores, kendall_tau, silhouette, paired_fscore, kmeans_gold_k, kmeans_auto_k, causal_attention, temperature_softmax, multi_head_attention, feed_forward, target_cross_entropy, score_comparison, score_summary)}
+QUERIES = {f.__name__: f for f in (vector_norms, knn_top10, analogy_top5, answer_check, sparse_vectors, kmeans_sparse, centroids, bias_scores, pair_scores, kendall_tau, silhouette, paired_fscore, kmeans_gold_k, kmeans_auto_k, causal_attention, temperature_softmax, multi_head_attention, feed_forward, target_cross_entropy, score_comparison, score_summary)}
 
 _V = "v as (select vec_id, embedding::double[] as e, label from embeddings)"
 _ITEMS = f"{_V}, it as (select *, vec_id // 50 as target, (vec_id * 7 % 50) // 10 as guess from v)"
@@ -154,3 +179,5 @@ ORACLES = {
     "causal_attention": f"with {_V}, r as (select vec_id // 8 as seq, vec_id % 8 as pos, e from v), s as (select q.seq, q.pos, k.e, list_inner_product(q.e, k.e) / 8.0 as s from r q join r k on q.seq = k.seq and k.pos <= q.pos), x as (select *, exp(s - max(s) over (partition by seq, pos)) as ex from s), w as (select seq, pos, e, ex / sum(ex) over (partition by seq, pos) as w from x) select seq, pos, dim::bigint as dim, round(sum(w * x), 6) as value from (select seq, pos, w, unnest(e) as x, unnest(range(0, len(e))) as dim from w) group by 1, 2, 3",
     "temperature_softmax": "with l as (select user_id, event_type, avg(value) / 10 as logit from events group by 1, 2), x as (select *, exp(logit / 0.8 - max(logit / 0.8) over (partition by user_id)) as ex from l) select user_id, event_type, round(logit, 6) as logit, round(ex / sum(ex) over (partition by user_id), 6) as p from x",
 }
+ORACLES["answer_check"] = f"with r as ({ORACLES['analogy_top5']}), x as (select analogy, max(vec_id) filter (rank = 1) as a, max(vec_id) filter (rank = 1 + analogy % 2) as e from r group by 1) select analogy, 'Vec' || a as answer, 'VEC' || e as expected, a = e as correct from x union all select 6, 'N/A', 'none', false"
+ORACLES["sparse_vectors"] = f"with {_V}, l as (select vec_id, case when vec_id % 7 > 0 then list_filter(e, lambda x: x > 0.1) else [] end as s from v) select vec_id, len(s)::bigint as nnz, round(coalesce(list_sum(s), 0), 6) as total from l"

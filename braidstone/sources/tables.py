@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidstone.functions.paths import META_DIR
+from braidstone.functions.staging import stage
 
 
 def text_corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,6 +75,16 @@ def current(table: DataFrame, *keys: str) -> DataFrame:
     return latest.filter(~F.coalesce("deleted", F.lit(False))).drop("deleted") if "deleted" in table.columns else latest
 
 
+def looked_up(asked: DataFrame, table: DataFrame, key: str, default: str | None = None) -> DataFrame:
+    """``asked(<key>)`` with the latest ``value`` of ``table(<key>, value, version)``, or the default."""
+    return asked.join(current(table, key).select(key, "value"), key, "left").withColumn("value", F.coalesce("value", F.lit(default)))
+
+
+def replace(rows: DataFrame, path: str) -> None:
+    """The table at ``path`` holds ``rows`` and nothing else; they may come from that table."""
+    stage(rows, "replacement").write.mode("overwrite").parquet(path)
+
+
 def journal(log: DataFrame) -> DataFrame:
     """``(op_id, seq, attempts)`` still pending, of ``log(op_id, seq, event)`` with events add, failed and done."""
     state = log.groupBy("op_id").agg(F.min(F.when(F.col("event") == "add", F.col("seq"))).alias("seq"), F.count_if(F.col("event") == "failed").alias("attempts"), F.count_if(F.col("event") == "done").alias("done"))
