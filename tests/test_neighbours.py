@@ -54,3 +54,19 @@ def test_window_rows(spark, docs, monkeypatch):
     rows = neighbours.word_rows(text.ring_counts(arrays, words, (1, 2, 5)), words, (1, 2, 5), "window", sums=True).collect()
     for window in (1, 2, 5):
         assert {(r.w, r.c): r.n for r in rows if r.window == window} == counted(stream, set(words.names.to_pylist()), window)
+
+
+def test_ppmi_of_cells(spark, docs, monkeypatch):
+    """As by joins on words, but for the order of sums; both orders of a pair alike."""
+    small(monkeypatch)
+    arrays, vocab = text.corpus(docs[0])
+    words = neighbours.Words(vocab)
+    found = neighbours.cells(text.ring_counts(arrays, words, (2,)), words)
+    got = {(r.w, r.c): (r.n, r.ppmi) for r in neighbours.ppmi(found, words).collect()}
+    want = counted(docs[1], set(words.names.to_pylist()), 2)
+    assert {k: n for k, (n, _) in got.items()} == want
+    sums, total = Counter(), sum(want.values())
+    for (w, _), n in want.items():
+        sums[w] += n
+    for (w, c), (n, v) in got.items():
+        assert v == pytest.approx(max(0, np.log2(n * total / (sums[w] * sums[c]))), abs=1e-12)
