@@ -70,3 +70,45 @@ def test_ppmi_of_cells(spark, docs, monkeypatch):
         sums[w] += n
     for (w, c), (n, v) in got.items():
         assert v == pytest.approx(max(0, np.log2(n * total / (sums[w] * sums[c]))), abs=1e-12)
+
+
+@pytest.mark.parametrize("dense", [1, 24, 10**9])
+def test_nearest(monkeypatch, dense):
+    """Dense and sparse columns, slabs, rows and targets of zeros, ties by number."""
+    monkeypatch.setattr(neighbours, "DENSE", dense)
+    monkeypatch.setattr(neighbours, "DENSE_SIZE", 100)
+    monkeypatch.setattr(neighbours, "PRODUCTS", 50)
+    rng = np.random.default_rng(4)
+    full = rng.integers(0, 4, (90, 40)) * (rng.random((90, 40)) < 0.2) * 1.0
+    full[[3, 20, 40]], full[50:60] = 0, full[49]
+    targets = np.arange(0, 90, 20)
+    sparse = lambda keep: (*(z := np.nonzero(full * keep[:, None])), full[z])
+    norm = np.sqrt((full**2).sum(1))
+    cosine = np.nan_to_num(full @ full.T / np.where(norm, norm, np.inf)[:, None] / np.where(norm, norm, np.inf))
+    for lo, hi in ((0, 90), (30, 75)):
+        span = np.arange(90)
+        a, b, sim = neighbours.nearest(targets, sparse(np.isin(span, targets)), lo, hi, sparse((span >= lo) & (span < hi)), 6)
+        for t in targets:
+            best = sorted((-np.round(cosine[t, x], 6), x) for x in range(lo, hi) if x != t)[:6]
+            assert sorted(b[a == t].tolist()) == sorted(x for _, x in best)
+        assert np.allclose(sim, cosine[a, b])
+
+
+def test_similar_and_pairs(spark, docs, monkeypatch):
+    """Tiles of targets, ranges of words and pairs as by joins."""
+    small(monkeypatch)
+    arrays, vocab = text.corpus(docs[0])
+    words = neighbours.Words(vocab)
+    found = neighbours.cells(text.ring_counts(arrays, words, (2,)), words)
+    cells = neighbours.ppmi(found, words).cache()
+    targets = np.arange(0, len(words), 3)
+    chosen = spark.createDataFrame([(w,) for w in np.array(words.names.to_pylist())[targets].tolist()], "word string")
+    for value in ("n", "ppmi"):
+        got = text.top(neighbours.similar(found, words, value, targets, 4), "word", "sim", "neighbour", 4).collect()
+        want = text.similar(cells, value, chosen, vocab, 4).collect()
+        assert {(r.word, r.neighbour, r["rank"]): round(r.sim, 6) for r in got} == {(r.word, r.neighbour, r["rank"]): round(r.sim, 6) for r in want}
+    names = words.names.to_pylist()
+    pairs = spark.createDataFrame([(a, b, 0.0) for a, b in [*zip(names, names[1:]), *zip(names, reversed(names)), (names[0], "not a word")]], "w1 string, w2 string, human double")
+    got = {(r.w1, r.w2): r.score for r in neighbours.pair_scores(found, words, pairs).collect()}
+    want = {(r.w1, r.w2): r.score for r in text.sparse_pair_scores(pairs, cells, "ppmi", vocab).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
