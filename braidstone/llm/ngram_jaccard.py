@@ -55,6 +55,8 @@ BITS = 1024
 SAMPLE_EVERY, COMMON, COMMON_MOST = 20, 4, 2_000_000
 #: Batches of documents and rows of pairs handled at once in Python.
 CHUNK = 500
+#: Bytes of text whose keys make one bucket; keys that a task gathers before it deals them to buckets, and those of one row.
+BUCKET_BYTES, GATHERED, ROW_KEYS = 2_000_000, 1_000_000, 512
 
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
@@ -197,20 +199,37 @@ _ROWS_SQL = "bucket int, doc_id long, tag long, n long, s1 long, s2 long, sketch
 
 
 def _emit(words: int, bands: Bands, buckets: int, common):
-    """Per document a row of its set's size, digest and bit sketch; per block and bucket one of keys and ids.
+    """Per document a row of its set's size, digest and bit sketch; rows of one bucket's keys and their ids.
 
-    A set seen before in the same partition emits no keys again: its digest joins it to the first, and the row with
+    Keys are gathered over blocks, 64 for each bucket at least, so that rows grow with the keys, however many buckets
+    there are. A set seen before in the same partition emits no keys again: its digest joins it to the first, and the row with
     the smaller id is found later. That keeps groups of copies from weighing on their keys' buckets.
     """
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skip, seen = common.value, set()
+        keys, owners, held, most = [], [], 0, max(GATHERED, 64 * buckets)
+
+        def gathered() -> Iterator[pa.RecordBatch]:
+            k, o = np.concatenate(keys), np.concatenate(owners)
+            keys.clear()
+            owners.clear()
+            b = (k % _U(buckets)).astype(np.int32)
+            order = np.argsort(b, kind="stable")
+            k, o, b = k[order], o[order], b[order]
+            run = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+            times = -(-np.diff(np.append(run, len(k))) // ROW_KEYS)
+            first = np.repeat(run, times) + ROW_KEYS * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+            last = np.append(first[1:], len(k))
+            none = pa.nulls(len(first), pa.int64())
+            yield pa.record_batch([pa.array(b[first]), none, none, none, none, none, pa.nulls(len(first), pa.binary()), pa.array([k[x:y].tobytes() for x, y in zip(first, last, strict=True)], pa.binary()), pa.array([o[x:y].tobytes() for x, y in zip(first, last, strict=True)], pa.binary())], schema=_ROWS)
+
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
                 ids, texts, tags = (part.column(i).to_pylist() for i in range(3))
-                rows, keys, owners = [], [], []
+                rows = []
                 for doc_id, text, tag in zip(ids, texts, tags, strict=True):
                     s = shingles(text, words)
                     s1, s2 = _set_id(s)
@@ -223,21 +242,18 @@ def _emit(words: int, bands: Bands, buckets: int, common):
                     k = lane_keys(s, rare, bands)
                     keys.append(k)
                     owners.append(np.full(len(k), s1, np.int64))
+                    held += len(k)
                 m = len(rows)
                 cols = list(zip(*rows, strict=True))
-                spread = pa.array((np.array(cols[3], np.int64) % buckets).astype(np.int32))
+                own = np.array([x or 0 for x in cols[0]], np.int64).view(np.uint64)
+                spread = pa.array((_mix(own + np.array([x or 0 for x in cols[1]], np.int64).view(np.uint64)) % _U(buckets)).astype(np.int32))
                 none = pa.nulls(m, pa.binary())
                 yield pa.record_batch([spread, *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary()), none, none], schema=_ROWS)
-                if not keys or not (total := sum(map(len, keys))):
-                    continue
-                k, o = np.concatenate(keys), np.concatenate(owners)
-                b = (k % _U(buckets)).astype(np.int32)
-                order = np.argsort(b, kind="stable")
-                k, o, b = k[order], o[order], b[order]
-                first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-                last = np.append(first[1:], total)
-                none = pa.nulls(len(first), pa.int64())
-                yield pa.record_batch([pa.array(b[first]), none, none, none, none, none, pa.nulls(len(first), pa.binary()), pa.array([k[x:y].tobytes() for x, y in zip(first, last, strict=True)], pa.binary()), pa.array([o[x:y].tobytes() for x, y in zip(first, last, strict=True)], pa.binary())], schema=_ROWS)
+                if held >= most:
+                    yield from gathered()
+                    held = 0
+        if held:
+            yield from gathered()
 
     return run
 
@@ -246,8 +262,8 @@ _MET = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64())
 _MET_SQL = "doc_id long, tag long, n long, s1 long, s2 long, sketch binary, g1 long, g2 long, part int, members array<long>"
 #: Members of one stored group row; a larger group becomes several rows.
 GROUP_ROW = 4096
-#: Buckets of a shuffle partition, and the keys of one that a task holds before it lets those of large groups go.
-BUCKETS, HELD = 64, 1_000_000
+#: The keys of a bucket that a task holds before it lets those of large groups go.
+HELD = 1_000_000
 
 
 class _Bucket:
@@ -574,7 +590,8 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction = T
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("tag"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     common = spark.sparkContext.broadcast(_common(rows, words))
-    emitted = rows.mapInArrow(_emit(words, bands, parts * BUCKETS, common), _ROWS_SQL).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    emitted = rows.mapInArrow(_emit(words, bands, max(parts, -(-size // BUCKET_BYTES)), common), _ROWS_SQL).repartition(parts, "bucket").sortWithinPartitions("bucket")
     met = stage(emitted.mapInArrow(_meet, _MET_SQL), "met")
     sets = met.filter(F.col("n").isNotNull()).select("doc_id", "tag", "n", "s1", "s2", "sketch")
     least = F.min(F.struct("doc_id", "tag"))

@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -637,3 +638,20 @@ def test_sampled_edits(spark, docs):
     made = token_counts.sample_edits(docs).collect()
     got = Counter((r.doc_id, r.n_tokens_after) for r in token_counts.edited_counts(token_counts.sample_edits(docs), BPE).collect())
     assert got == Counter((r.doc_id, len(tk.encode(_edited(r.text or "", r.edits), add_special_tokens=False).ids)) for r in made)
+
+
+def test_rows_of_keys_grow_with_the_keys():
+    """However many buckets and blocks of documents there are, a row holds many keys, and every key of every set is in one."""
+    rng, bands = random.Random(8), ngram_jaccard.Bands()
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(3000)]
+    sent = type("Sent", (), {"value": np.zeros(0, np.uint64)})
+    batch = pa.record_batch([pa.array(range(3000), pa.int64()), pa.array(texts), pa.array(range(3000), pa.int64())], ["doc_id", "text", "tag"])
+    out = pa.Table.from_batches(ngram_jaccard._emit(5, bands, 1000, sent)(iter([batch])))
+    docs, rows = out.filter(out["keys"].is_null()), out.filter(out["keys"].is_valid())
+    want = sorted((int(k), ngram_jaccard._set_id(s)[0]) for s in map(ngram_jaccard.shingles, texts) for k in ngram_jaccard.lane_keys(s, s, bands))
+    got = sorted((int(k), int(o)) for b, x, y in zip(*(rows[c].to_pylist() for c in ("bucket", "keys", "ids")), strict=True) for k, o in zip(np.frombuffer(x, np.uint64), np.frombuffer(y, np.int64), strict=True) if int(k) % 1000 == b)
+    assert got == want and docs.num_rows == 3000
+    assert rows.num_rows <= 1000 + len(want) // ngram_jaccard.ROW_KEYS
+    copies = pa.record_batch([pa.array(range(3000), pa.int64()), pa.array(texts[:1] * 3000), pa.array([1] * 3000, pa.int64())], ["doc_id", "text", "tag"])
+    out = pa.Table.from_batches(ngram_jaccard._emit(5, bands, 10, sent)(iter([copies])))
+    assert max(Counter(out.filter(out["keys"].is_null())["bucket"].to_pylist()).values()) < 600
