@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidstone.llm.common import frugal
+from braidstone.llm.common import frugal, hand_back
 
 FEATURES = 1 << 14
 #: The bound of the sample the classifier is fitted on.
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, lang: str = "lang", sample_docs: int = SAMPLE_DOCS) ->
     grid = np.exp(np.linspace(np.log(0.05), np.log(10), 107))
     loss = [-np.log(np.maximum(_softmax(scores / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     del rows, kept, fitted, got
-    pa.default_memory_pool().release_unused()
+    hand_back()
     return Model(langs, idf, w, b, float(grid[int(np.argmin(loss))]))
 
 

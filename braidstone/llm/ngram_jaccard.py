@@ -373,8 +373,8 @@ def _common(rows: DataFrame, words: int) -> np.ndarray:
                     yield pa.record_batch([pa.array(s.view(np.int64))], ["h"])
 
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_EVERY)) == 0)
-    found = sample.mapInArrow(each, "h long").groupBy("h").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(COMMON_MOST).select("h").toPandas()
-    return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
+    found = sample.mapInArrow(each, "h long").groupBy("h").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(COMMON_MOST).select("h").toArrow()
+    return np.sort(found.column("h").to_numpy().view(np.uint64))
 
 
 def _near_enough(threshold: Fraction):
@@ -466,15 +466,20 @@ def _compare(threshold: Fraction):
 
 
 def _left_over(mixed: DataFrame, nodes: DataFrame, key: list[str], threshold: Fraction) -> DataFrame:
-    """Likely pairs of different components in a group: its members outside its largest component against all, in blocks."""
+    """Likely pairs of different components in a group: its members outside its largest component against all, in blocks. They may repeat.
+
+    Sizes, members with their sketches and the pairs of large groups are stored one after another: in one query their
+    shuffles, each with the tasks of all partitions, would run at once, which the driver's memory bears.
+    """
     parts = mixed.groupBy(*key, "c").count()
     sizes = parts.groupBy(*key).agg(F.max(F.struct("count", "c"))["c"].alias("big"), F.sum("count").alias("m"), (F.sum("count") - F.max("count")).alias("v"))
-    sized = mixed.join(sizes, key)
-    few = sized.filter(F.col("m") <= SMALL)
+    counted = stage(mixed.join(sizes, key), "left-over")
+    few = counted.filter(F.col("m") <= SMALL)
     other = few.select(*key, F.col("s").alias("hub"), F.col("c").alias("d"))
-    small = few.join(other, key).filter("c < d").select("s", "hub").distinct()
-    wide = sized.filter(F.col("m") > SMALL).join(nodes.select(F.col("s1").alias("s"), "n", "sketch"), "s")
+    small = few.join(other, key).filter("c < d").select("s", "hub")
+    wide = counted.filter(F.col("m") > SMALL).join(nodes.select(F.col("s1").alias("s"), "n", "sketch"), "s")
     wide = wide.select(*key, "s", "c", "n", "sketch", "big", F.ceil(F.col("m") / BLOCK).cast("int").alias("bm"), F.ceil(F.col("v") / BLOCK).cast("int").alias("bv"))
+    wide = stage(wide, "left-over-wide")
     salt = lambda n: F.pmod(F.xxhash64("s"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own, cols = [*key, "pm", "pv"], ["s", "c", "n", "sketch"]
@@ -482,7 +487,7 @@ def _left_over(mixed: DataFrame, nodes: DataFrame, key: list[str], threshold: Fr
     visitors = wide.filter("c <> big").withColumn("pv", salt("bv")).withColumn("pm", each("bm"))
     visitors = visitors.select(*(F.col(k).alias(f"v_{k}") for k in own), *(F.col(c).alias(c) for c in cols))
     large = members.groupBy(*own).cogroup(visitors.groupBy(*(f"v_{k}" for k in own))).applyInPandas(_compare(threshold), "s long, hub long")
-    return small.unionByName(large)
+    return small.unionByName(stage(large, "left-over-pairs"))
 
 
 #: Shingles of all sets of a block of a class; those that more sets of two blocks hold than this are counted by products.
@@ -629,7 +634,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction = T
         found, verified = _links(pairs, nodes, rows, words, threshold)
         seen.append(verified)
         linked = found if linked is None else linked.union(found)
-        joined = components(linked)
+        joined = stage(components(linked), "joined")
 
     of_set = stage(nodes.select("s1", "doc_id", "n", "m").join(joined.withColumnRenamed("node", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1")), "set-classes")
     lowest = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -655,3 +655,22 @@ def test_rows_of_keys_grow_with_the_keys():
     copies = pa.record_batch([pa.array(range(3000), pa.int64()), pa.array(texts[:1] * 3000), pa.array([1] * 3000, pa.int64())], ["doc_id", "text", "tag"])
     out = pa.Table.from_batches(ngram_jaccard._emit(5, bands, 10, sent)(iter([copies])))
     assert max(Counter(out.filter(out["keys"].is_null())["bucket"].to_pylist()).values()) < 600
+
+
+def test_queries_of_the_jaccard_join_have_few_shuffles(spark, monkeypatch):
+    """Shuffles of one query run at once, each with a task for every partition, and the driver's memory bears them."""
+    shuffles, kept = {}, ngram_jaccard.stage
+
+    def counted(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffles[name] = max(shuffles.get(name, 0), len(re.findall(r"Exchange \w+", plan)))
+        return kept(df, name)
+
+    monkeypatch.setattr(ngram_jaccard, "stage", counted)
+    monkeypatch.setattr(ngram_jaccard, "SMALL", 4)
+    rng = random.Random(9)
+    rows = [(k, t) for k, t in enumerate(t for n in (30, 12, 2) for t in _family(rng, n))]
+    low = _classes(_sets(rows))
+    got = ngram_jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), links=False).collect()
+    assert {r.doc_id: r.component_id for r in got} == low
+    assert max(shuffles.values()) <= 6, shuffles
